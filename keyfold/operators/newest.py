@@ -54,20 +54,19 @@ def resolve(log: DataFrame, base: DataFrame | None = None, batches: int = 3, pay
             .select(*split, F.struct(order.alias("rank"), F.struct(*payload).alias("payload")).alias("w"))
             .groupBy("__k", "__none")
             .agg(F.max("w").alias("w"))
-            .select("__k", "__none", F.col("w.rank.o.ts").alias("ts"), (-F.col("w.rank.s")).alias("seq"), *(F.col("w.payload")[p].alias(p) for p in payload))
         )
-    out, newer = [], []
-    for f in folded:
-        left = f
+
+    def unresolved(rows: DataFrame, newer: list[DataFrame]) -> DataFrame:
         for n in newer:
-            left = left.join(n.select("__k", "__none"), ["__k", "__none"], "left_anti")
-        out.append(left.withColumn("source", F.lit("change")))
-        newer.append(f)
+            # That the image is asked for keeps it in the plan, so that this is the exchange of the batch itself.
+            seen = n.where(F.col("w").isNotNull()).select("__k", "__none")
+            rows = rows.join(seen, ["__k", "__none"], "left_anti")
+        return rows
+
+    image = ["__k", "__none", F.col("w.rank.o.ts").alias("ts"), (-F.col("w.rank.s")).alias("seq"), *(F.col("w.payload")[p].alias(p) for p in payload), F.lit("change").alias("source")]
+    out = [unresolved(f, folded[:i]).select(*image) for i, f in enumerate(folded)]
     if base is not None:
-        left = base.select(*split, "ts", F.lit(None).cast("long").alias("seq"), *payload, F.lit("base").alias("source"))
-        for n in newer:
-            left = left.join(n.select("__k", "__none"), ["__k", "__none"], "left_anti")
-        out.append(left)
+        out.append(unresolved(base.select(*split, "ts", F.lit(None).cast("long").alias("seq"), *payload, F.lit("base").alias("source")), folded))
     whole = reduce(DataFrame.unionByName, out)
     return whole.select(F.when(~F.col("__none"), F.col("__k")).alias("key"), "ts", "seq", *payload, "source")
 
