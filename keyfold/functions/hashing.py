@@ -8,6 +8,9 @@ hex digits of SHA-256, which compare as strings exactly like the unsigned number
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,14 +61,22 @@ def rotl(col: Column, n: int) -> Column:
     return F.shiftleft(col, n).bitwiseOR(F.shiftrightunsigned(col, 64 - n))
 
 
-def key_hash(key: Column, how: str = "auto") -> Column:
-    return xx64(key, 0, how)
+def sha64(col: Column) -> Column:
+    """First 64 bits of SHA-256; the hash family that any SQL engine can repeat. Null gives 0."""
+    return F.coalesce(hex_to_long(hex_hash(col)), F.lit(0).cast("long"))
+
+
+FAMILIES = {"xxh64": xx64, "sha64": sha64}
+
 
+def key_hash(key: Column, family: str = "xxh64") -> Column:
+    return FAMILIES[family](key)
 
-def item_hash(kh: Column, ts: Column, node: Column, value: Column, tombstone: Column, how: str = "auto") -> Column:
+
+def item_hash(kh: Column, ts: Column, node: Column, value: Column, tombstone: Column, family: str = "xxh64") -> Column:
     """Hash of an entry. Null and empty node or payload and a live flag leave no trace in it."""
     zero = F.lit(0).cast("long")
-    part = lambda c, n: F.when(F.octet_length(c) > 0, rotl(xx64(c, 0, how), n)).otherwise(zero)
+    part = lambda c, n: F.when(F.octet_length(c) > 0, rotl(FAMILIES[family](c), n)).otherwise(zero)
     return (
         kh.bitwiseXOR(rotl(ts, 17))
         .bitwiseXOR(part(node, 31))
@@ -92,7 +103,7 @@ def unsigned_mod(h: Column, n: int) -> Column:
     if n > 0 and n & (n - 1) == 0:
         return h.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
     wide = h.cast("decimal(20,0)")
-    return F.pmod(F.when(h < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide), F.lit(n)).cast("int")
+    return F.pmod(F.when(h < 0, wide + F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(wide), F.lit(n)).cast("int")
 
 
 def hex_hash(col: Column) -> Column:
@@ -129,13 +140,18 @@ def _times(x: Column, m: int) -> Column:
     return F.shiftleft(hi_sum, 32).bitwiseOR(lo_sum.bitwiseAND(mask32))
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once however often ``f`` names it; keeps the expression from growing at each step."""
+    return F.transform(F.array(x), f)[0]
+
+
 def mix_count(n: Column) -> Column:
     """Finaliser that folds an item count into a digest, so that an empty bucket never looks like a full one."""
-    x = n.cast("long") + 1
+    fold = lambda x, n: _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
+    times = lambda x, m: _let(x, lambda v: _times(v, m))
     # Fixed values of the count mixer.
-    for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, shift)), m)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    x = times(fold(n.cast("long") + 1, 30), 0xBF58476D1CE4E5B9)
+    return fold(times(fold(x, 27), 0x94D049BB133111EB), 31)
 
 
 # Fixed values of the xxHash64 specification.
