@@ -12,6 +12,8 @@ from collections.abc import Callable
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +38,6 @@ def _catalyst_xx64(col: Column, seed: int) -> Column:
 
 
 def _arrow_xx64(col: Column, seed: int) -> Column:
-    import pyarrow as pa
-    import xxhash
-
     def run(values: pa.Array) -> pa.Array:
         raw = values.cast(pa.binary()).to_pylist()
         return pa.array([seed if v is None else _signed(xxhash.xxh64_intdigest(v, seed)) for v in raw], pa.int64())

@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from keyfold.operators import ledger
+from keyfold.session import shared_path
+
+from .conftest import rows
+
+T0 = datetime(2025, 3, 1)
+RUNS = "run_id long, attempt int, status string, started_at timestamp, finished_at timestamp, lo int, slice string"
+CHANGES = "seq long, op string, key string, ts long, node_id string, value binary, landed_at timestamp, at int, run_id int"
+ID = ["op", "key", "ts", "node_id", "value"]
+
+
+def _at(minutes):
+    return None if minutes is None else T0 + timedelta(minutes=minutes)
+
+
+def _runs(spark, *runs):
+    return spark.createDataFrame([(r, a, s, _at(t), None, 1, "x") for r, a, s, t in runs], RUNS)
+
+
+def _changes(spark, *cs):
+    return spark.createDataFrame([(i, "set", k, 1, n, None if v is None else bytearray(v), _at(t), 7, 7) for i, (k, n, v, t) in enumerate(cs, 1)], CHANGES)
+
+
+def test_failed_runs_hand_their_work_on(spark):
+    runs = _runs(spark, (2, 1, "failed", 20), (1, 1, "ok", 10), (1, 1, "ok", 10), (2, 2, None, 25), (2, 3, "ok", 30), (3, 1, "aborted", 40))
+    cs = _changes(spark, ("a", "n", b"1", 5), ("b", "n", b"1", 15), ("c", "n", b"1", 22), ("d", "n", b"1", 30), ("e", "n", b"1", 31), ("a", "n", b"1", 29))
+    assert rows(ledger.changes_by_run(cs, runs, ID)) == [(1, 1, 1), (2, 3, 2), (2, 3, 3), (2, 3, 4)]
+    items = [(r.state, r.run_id, r.first_token) for r in ledger.replay(runs).orderBy("hi").collect()]
+    assert items == [("done", 1, 1), ("done", 2, 2), ("done", 2, 3), ("done", 2, 4), ("pending", None, 5)]
+
+
+def test_nulls_and_empty_values_are_different_changes(spark):
+    runs = _runs(spark, (1, 1, "ok", 10))
+    cs = _changes(spark, ("a", None, None, 1), ("a", None, b"", 2), ("a", None, None, 3), (None, "n", b"", 4), (None, "n", b"", 5), ("a", "", None, 6), ("z", "n", b"", None))
+    assert [r[2] for r in rows(ledger.changes_by_run(cs, runs, ID))] == [1, 2, 4, 6]
+
+
+def test_empty_tables(spark):
+    runs, cs = _runs(spark, (1, 1, "ok", 10)), _changes(spark, ("a", "n", b"1", 5))
+    assert ledger.changes_by_run(cs.limit(0), runs, ID).count() == 0
+    assert ledger.changes_by_run(cs, runs.limit(0), ID).count() == 0
+    assert ledger.changes_by_run(cs, _runs(spark, (1, 1, "failed", 10), (2, 1, "ok", None)), ID).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_random_histories_like_a_loop(spark, slices, monkeypatch):
+    monkeypatch.setattr(ledger, "MAX_SLICES", slices)
+    monkeypatch.setattr(ledger, "min", lambda a, b: a, raising=False)  # as many slices as wanted, also for few runs
+    r = random.Random(slices)
+    runs = [(i, r.randint(1, 2), r.choice(["ok", "failed", None, "aborted"]), r.randint(0, 500)) for i in range(60)]
+    cs = [(r.choice("abcdefgh"), r.choice([None, "n"]), r.choice([None, b"", b"1"]), t) for t in sorted(r.randint(-20, 520) for _ in range(300))]
+    first: dict = {}
+    for i, c in enumerate(cs, 1):
+        first.setdefault(c[:3], (i, c[3]))
+    want = []
+    for seq, t in first.values():
+        ok = sorted((s, i, a) for i, a, st, s in runs if st == "ok" and s >= t)
+        if ok:
+            want.append((ok[0][1], ok[0][2], seq))
+    assert rows(ledger.changes_by_run(_changes(spark, *cs), _runs(spark, *runs), ID)) == sorted(want, key=repr)
+
+
+def test_leases_run_out_and_stale_writers_are_rejected(spark):
+    lg = ledger.WorkLedger(spark, shared_path(spark, "ledger"), compact_every=3)
+    assert lg.lease(10, now=0) is None
+    assert lg.add(100) == "start-100" and lg.add(100) is None and lg.add(250) == "100-250"
+    a = lg.lease(10, now=0)
+    assert (a.lo, a.hi, a.token) == (None, 100, 1)
+    b = lg.lease(10, now=1)
+    assert (b.lo, b.hi, b.token) == (100, 250, 2)
+    assert lg.lease(10, now=5) is None
+    assert lg.states(now=5) == {"start-100": "leased", "100-250": "leased"}
+    assert lg.states(now=10)["start-100"] == "pending"
+    c = lg.lease(10, now=10)  # the first lease ran out
+    assert c.item == a.item and c.token == 3
+    with pytest.raises(ledger.StaleToken):
+        lg.complete(a, "old", now=11)
+    lg.complete(c, "new", now=12)
+    with pytest.raises(ledger.StaleToken):
+        lg.complete(c, "again", now=12)
+    lg.give_back(b, now=5)
+    assert lg.states(now=12) == {"start-100": "done", "100-250": "pending"}
+    assert lg.outputs() == ["new"]
+    again = ledger.WorkLedger(spark, lg.path)
+    assert again.states(now=12) == lg.states(now=12)
+
+
+def test_processing_survives_failures_without_loss_or_repetition(spark):
+    lg = ledger.WorkLedger(spark, shared_path(spark, "ledger"))
+    sink = shared_path(spark, "out")
+    cs = _changes(spark, *((f"k{i}", "n", b"1", i) for i in range(20)))
+
+    def seen():
+        return sorted(r[0] for p in lg.outputs() for r in spark.read.parquet(p).select("key").collect())
+
+    ledger.process_new(lg, cs.where("seq <= 8"), "landed_at", sink, lambda d: d, now=0)
+
+    def fails(d):
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        ledger.process_new(lg, cs.where("seq <= 15"), "landed_at", sink, fails, now=0)
+    crashed = lg.lease(60, now=0)  # a worker that takes the item and is never heard of again
+    assert crashed is not None
+    assert ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=1) != []
+    ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=61)
+    assert seen() == sorted(f"k{i}" for i in range(20))
+    assert ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=62) == []
+
+
+def test_locate_with_a_dense_stretch(spark):
+    ends = [*range(1000, 1100), 5_000_000]
+    w = spark.createDataFrame([(a, b, b) for a, b in zip([None, *ends], ends, strict=False)], "lo long, hi long, run_id long")
+    p = spark.range(990, 1120).select(F.col("id").alias("__at"), F.col("id").alias("seq"))
+    got = {r.seq: r.run_id for r in ledger.locate(p, "__at", w, ["run_id"]).collect()}
+    assert got == {t: next(e for e in ends if e >= t) for t in range(990, 1120)}
