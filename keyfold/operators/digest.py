@@ -63,6 +63,36 @@ def mismatched(a: DataFrame, b: DataFrame) -> DataFrame:
     return up.where(bad_shard & (_digest("xa", "cnta") != _digest("xb", "cntb"))).select("shard", "sub")
 
 
+def request(hashed: DataFrame) -> DataFrame:
+    """What a replica asks with: ``level`` (``root``, ``shard``, ``sub``), ``shard, sub, cnt, digest``; 8,321 rows."""
+    whole = _whole(_sums(hashed))
+    none = F.lit(None).cast("int")
+    sub = whole.select(F.lit("sub").alias("level"), "shard", "sub", "cnt", _digest().alias("digest"))
+    shard = _by_shard(whole).select(F.lit("shard").alias("level"), "shard", none.alias("sub"), "cnt", _digest().alias("digest"))
+    root = shard.agg(F.sum("cnt").alias("cnt"), F.bit_xor("digest").alias("digest")).select(F.lit("root").alias("level"), none.alias("shard"), none.alias("sub"), "cnt", "digest")
+    return root.unionByName(shard).unionByName(sub)
+
+
+def answer(asked: DataFrame, peer: DataFrame) -> DataFrame:
+    """Entries of ``peer`` (hashed) that a request is answered with.
+
+    Nothing if the roots are equal, nothing of a shard whose digests are equal, else the buckets whose digests differ. A
+    missing root or shard counts as different; a shard of which not all 64 bucket digests were sent is sent whole.
+    """
+    own = request(peer)
+    mine = own.select("level", "shard", "sub", F.col("digest").alias("own"))
+    sent = asked.groupBy("level", "shard", "sub").agg(F.max("digest").alias("digest"))
+    both = mine.alias("m").join(sent.alias("s"), (F.col("m.level") == F.col("s.level")) & F.col("m.shard").eqNullSafe(F.col("s.shard")) & F.col("m.sub").eqNullSafe(F.col("s.sub")), "left").select("m.*", "digest")
+    both = both.withColumn("differs", ~F.col("own").eqNullSafe(F.col("digest")))
+    per = both.groupBy("shard").agg(F.bool_or((F.col("level") == "shard") & F.col("differs")).alias("shard_differs"), F.count_if((F.col("level") == "sub") & F.col("digest").isNotNull()).alias("sent"))
+    root = both.where("level = 'root'").select(F.col("differs").alias("root_differs"))
+    bad = both.where("level = 'sub'").join(F.broadcast(per), "shard").where(F.col("shard_differs") & (F.col("differs") | (F.col("sent") < SUBS)))
+    first = root.first()  # one row, one flag
+    if first is not None and not first[0]:
+        return peer.limit(0).select(*ENTRY)
+    return peer.join(F.broadcast(bad.select("shard", "sub")), ["shard", "sub"], "left_semi").select(*ENTRY)
+
+
 def update_digests(digests: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Sub-bucket XORs and counts after entries changed: ``shard, sub, cnt, x`` with the old items taken out and the new put in."""
     base = digests.select("shard", "sub", "cnt", "x")

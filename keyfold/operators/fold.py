@@ -21,21 +21,21 @@ def rank(family: str = "xxh64") -> Column:
     return F.struct(F.col("ts").alias("ts"), F.coalesce("node_id", F.lit("")).alias("node"), unsigned_order(h).alias("hash"))
 
 
-def as_entries(log: DataFrame) -> DataFrame:
-    """The writes of a log in the form of entries; a delete has no payload."""
+def as_entries(log: DataFrame, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The writes of a log in the form of entries, with those of the columns ``keep`` that it has; a delete has no payload."""
     dead = F.col("op") == "del"
-    rest = [c for c in log.columns if c == "seq"]
+    rest = [c for c in keep if c in log.columns]
     return log.where(F.col("op").isin("set", "del")).select("key", F.when(~dead, F.col("value")).alias("value"), "ts", "node_id", dead.alias("tombstone"), *rest)
 
 
-def fold(entries: DataFrame, family: str = "xxh64") -> DataFrame:
-    """The greatest entry of every key. The result is the same for any order and any repetition of the input.
+def fold(entries: DataFrame, family: str = "xxh64", by: tuple[str, ...] = ()) -> DataFrame:
+    """The greatest entry of every key, or of every key of each group ``by``, such as a replica. The result is the same for any order and any repetition of the input.
 
     Nulls: a null key is a key, a null node id is the empty one, a null clock loses to any other; null and
     empty payloads rank alike, and of such twins the empty one stays. Folds before its one shuffle.
     """
     w = F.max(F.struct(rank(family).alias("rank"), F.struct("value", "node_id").alias("v"), F.col("tombstone")))
-    return entries.groupBy("key").agg(w.alias("w")).select("key", F.col("w.v.value").alias("value"), F.col("w.rank.ts").alias("ts"), F.col("w.v.node_id").alias("node_id"), F.col("w.tombstone").alias("tombstone"))
+    return entries.groupBy(*by, "key").agg(w.alias("w")).select(*by, "key", F.col("w.v.value").alias("value"), F.col("w.rank.ts").alias("ts"), F.col("w.v.node_id").alias("node_id"), F.col("w.tombstone").alias("tombstone"))
 
 
 def replay_by_clock(log: DataFrame) -> DataFrame:
@@ -44,6 +44,19 @@ def replay_by_clock(log: DataFrame) -> DataFrame:
     return as_entries(log).groupBy("key").agg(w.alias("w")).select("key", "w.value", "w.ts", F.lit(None).cast("string").alias("node_id"), "w.tombstone")
 
 
+def overwrite(log: DataFrame) -> DataFrame:
+    """State if every write simply replaces what was there: the last to arrive of each key."""
+    w = F.max(F.struct("seq", "value", "ts", "node_id", "tombstone"))
+    return as_entries(log).groupBy("key").agg(w.alias("w")).select("key", "w.value", "w.ts", "w.node_id", "w.tombstone")
+
+
+def remove(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries without those of ``keys``; no tombstone stays. A null key is removed only by a null key."""
+    out = keys.select("key").distinct().select(F.coalesce("key", F.lit("")).alias("__k"), F.col("key").isNull().alias("__none"))
+    e = entries.withColumn("__k", F.coalesce("key", F.lit(""))).withColumn("__none", F.col("key").isNull())
+    return e.join(out, ["__k", "__none"], "left_anti").select(*entries.columns)
+
+
 def live(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("tombstone"))
 

@@ -116,3 +116,13 @@ def membership(events: DataFrame, seq: str = "seq") -> DataFrame:
 def reachable(nodes: DataFrame) -> DataFrame:
     """Members that announce a port."""
     return nodes.where("grpc_port > 0")
+
+
+def others(nodes: DataFrame, me: str) -> DataFrame:
+    """Members besides ``me``."""
+    return nodes.where(F.col("node_id").isNotNull() & (F.col("node_id") != me))
+
+
+def pick_peer(nodes: DataFrame, me: str, seed: int) -> DataFrame:
+    """The member that ``me`` exchanges with in round ``seed``: one row, none where it is alone. The same seed gives the same peer."""
+    return others(nodes, me).orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(1)

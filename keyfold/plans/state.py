@@ -13,7 +13,7 @@ from keyfold.functions import clock, resp
 from keyfold.functions.hashing import long_to_hex, unsigned_mod
 from keyfold.functions.hashing import key_hash as hash_of
 from keyfold.operators import digest, evict, fold, recovery, replicate
-from keyfold.operators.ring import Ring, moved
+from keyfold.operators.ring import Ring, moved, others, reachable
 from keyfold.session import shared_path, table
 from keyfold.sources import segments
 from keyfold.sources.snapshots import StateStore
@@ -210,6 +210,18 @@ def lww_accepted_log(spark, d):
     return fold.judged(log_of(spark, d), FAMILY).where("accepted").drop("accepted")
 
 
+@query(f"WITH {_M} SELECT {_ENTRY} FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1")
+def map_overwrite(spark, d):
+    """Writes without any comparison: the last to arrive stays."""
+    return fold.overwrite(log_of(spark, d))
+
+
+@query(f"WITH {_E} SELECT {_ENTRY} FROM e ANTI JOIN replica_a USING (key)")
+def map_removed(spark, d):
+    """Entries without those of given keys."""
+    return fold.remove(entries_of(spark, d), table(spark, d, "replica_a"))
+
+
 _DEL = "l AS (SELECT seq, key, op, lag(op) OVER (PARTITION BY key ORDER BY seq) AS prev FROM mutations)"
 
 
@@ -411,6 +423,22 @@ def delete_exists_anywhere(spark, d):
     return replicate.exists_anywhere(customers(spark, d), _states(spark, d), ring_of(spark, d), 3)
 
 
+@query(f"""WITH {_M}, {_VN.format(_NODES)}, {_owners('(SELECT DISTINCT key FROM mutations)', 3, 'f')},
+w AS (SELECT f.replica, r.* FROM r JOIN f USING (key) WHERE (seq + substr(f.replica, 6, 2)::INT) % 10 <> 0)
+SELECT replica, {_ENTRY} FROM w QUALIFY row_number() OVER (PARTITION BY replica, key {_BEST}) = 1""")
+def replica_states(spark, d):
+    """State of every replica after the log was sent to the owners of its keys and a tenth of the messages got lost."""
+    sent = replicate.fan_out(log_of(spark, d), ring_of(spark, d), 3)
+    got = sent.where((F.col("seq") + F.substring("replica", 6, 2).cast("int")) % 10 != 0)
+    writes = fold.as_entries(got, keep=("seq", "replica"))
+    return fold.fold(writes, FAMILY, by=("replica",))
+
+
+@query("SELECT node_id, grpc_port, weight FROM nodes WHERE grpc_port > 0 AND node_id <> 'node-04'")
+def members_besides_self(spark, d):
+    return others(reachable(table(spark, d, "nodes")), "node-04").select("node_id", "grpc_port", "weight")
+
+
 # --- digests and exchange ----------------------------------------------------------------------------------------
 
 
@@ -447,6 +475,16 @@ def entropy_responsible_only(spark, d):
     return digest.pull(copy_of(spark, d, "replica_a"), copy_of(spark, d, "replica_b"), "node-03", ring_of(spark, d), 3)
 
 
+_PARTIAL = """, bad2 AS (SELECT shard, sub FROM sb WHERE (shard % 5 = 0 AND shard IN (SELECT shard FROM xa JOIN xb USING (shard) WHERE xa.digest <> xb.digest)) UNION SELECT shard, sub FROM bad)"""
+
+
+@query(_AB + f", {_shards('a', 'xa')}, {_shards('b', 'xb')}" + _PARTIAL + f" SELECT {_ENTRY} FROM b SEMI JOIN bad2 USING (shard, sub)")
+def entropy_answer(spark, d):
+    """The answer to a request that lacks some bucket digests in every fifth shard, which is then sent whole if it differs."""
+    asked = digest.request(copy_of(spark, d, "replica_a")).where("level != 'sub' or shard % 5 != 0 or sub < 60")
+    return digest.answer(asked, copy_of(spark, d, "replica_b"))
+
+
 @query(f"WITH {_copy('(SELECT * FROM replica_a UNION ALL SELECT * FROM replica_b)', 'e')}, {_shards('e', 's')}, g AS (SELECT {_HEX.format('bit_xor(digest)')} AS digest, sum(cnt)::BIGINT AS cnt FROM s) SELECT r AS replica, cnt, digest FROM g, (VALUES ('a'), ('b')) v(r)")
 def entropy_push_converged(spark, d):
     """Roots of both replicas after each pulled from the other."""

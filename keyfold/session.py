@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     on a cluster that would lose data with a machine, so there it is an error.
     """
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None)
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if told:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(told)

@@ -49,7 +49,7 @@ class Merge(StatefulProcessor):
         value, ts, node, dead = e
         return ts, (node or "").encode(), plain_item_hash(key, value, ts, node, dead)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name = key[0]
         old = tuple(self.state.get()) if self.state.exists() else None
         best = old
@@ -65,14 +65,14 @@ class Merge(StatefulProcessor):
             if self.ttl_ms:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
-                self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.ttl_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
             yield pd.DataFrame([(name, *best)], columns=ENTRY)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             _, ts, node, dead = self.state.get()
             if not dead:
-                gone = (None, max(ts + 1, timer_values.getCurrentProcessingTimeInMs() << 16), node, True)
+                gone = (None, max(ts + 1, timerValues.getCurrentProcessingTimeInMs() << 16), node, True)
                 self.state.update(gone)
                 yield pd.DataFrame([(key[0], *gone)], columns=ENTRY)
 

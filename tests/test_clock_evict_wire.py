@@ -307,3 +307,42 @@ def test_defaults_and_checks():
 def test_layers():
     c = StoreConfig.layered({"wal_segments": 3, "node_id": None}, {"KEYFOLD_WAL_SEGMENTS": "9", "KEYFOLD_GRPC_PORT": "7", "KEYFOLD_DISABLE_WAL": "true"})
     assert (c.wal_segments, c.cluster.grpc_port, c.disable_wal, c.wal_interval) == (3, 7, True, 500)
+
+
+def test_entries_that_are_not_written_become_tombstones(spark, log, tmp_path):
+    lg = log(("set", "a", b"1", 1, "n"), ("set", "b", b"1", 1, "n"), ("del", "b", None, 2, "n"))
+    lg.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out: dict = {}
+
+    def keep(batch, _):
+        for x in batch.collect():
+            out.setdefault(x.key, []).append(x.tombstone)
+
+    q = merge.merged(merge.log_feed(spark, str(tmp_path / "in"), lg.schema), ttl_ms=1500).writeStream.outputMode("update").foreachBatch(keep)
+    q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(60):
+            if len(out.get("a", [])) == 2 or q.exception():
+                break
+            q.awaitTermination(0.5)
+    finally:
+        q.stop()
+    assert out == {"a": [False, True], "b": [True]}
+
+
+def test_a_stream_that_stops_goes_on_where_it_was(spark, log, tmp_path):
+    lg = log(*(("set", f"k{i % 4}", bytes([i]), i, "n") for i in range(12)))
+    out: dict = {}
+
+    def keep(batch, _):
+        out.update({x.key: bytes(x.value) for x in batch.collect()})
+
+    for half in ("seq <= 6", "seq > 6"):
+        lg.where(half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = merge.merged(merge.log_feed(spark, str(tmp_path / "in"), lg.schema)).writeStream.outputMode("update").foreachBatch(keep)
+        s.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    # A late write after the restart loses against the state that was kept.
+    log(("set", "k3", b"late", 2, "n")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = merge.merged(merge.log_feed(spark, str(tmp_path / "in"), lg.schema)).writeStream.outputMode("update").foreachBatch(keep)
+    s.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert out == {f"k{i}": bytes([8 + i]) for i in range(4)}

@@ -138,3 +138,33 @@ def test_scan_of_a_shard_that_is_not_there(entries):
     h = _h(entries(("x", b"1", 1, "n", False)))
     assert fold.scan_buckets(h, 500, list(range(64))).count() == 0
     assert h.select(F.col("shard").between(0, 127) & F.col("sub").between(0, 63)).first()[0]
+
+
+def test_requests_and_answers(entries):
+    a = _h(entries(*((f"k{i}", b"1", 1, "n", False) for i in range(60))))
+    b = _h(entries(*((f"k{i}", b"1", 1 + (i == 7), "n", False) for i in range(60))))
+    ask = digest.request(a)
+    assert ask.count() == 1 + 128 + 8192
+    assert {r.key for r in digest.answer(ask, b).collect()} >= {"k7"}
+    assert rows(digest.answer(ask, b)) == rows(digest.pull(a, b))
+    assert digest.answer(digest.request(b), b).count() == 0
+    place = b.where("key = 'k7'").first()
+    whole = digest.answer(ask.where(~((F.col("level") == "sub") & (F.col("shard") == place.shard) & (F.col("sub") == (place["sub"] + 1) % 64))), b)
+    assert rows(whole) == rows(b.where(F.col("shard") == place.shard).select(*fold.ENTRY))
+    assert digest.answer(ask.limit(0), b).count() == 60
+
+
+def test_peers(spark):
+    from keyfold.operators.ring import others, pick_peer
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "node_id string")
+    assert rows(others(nodes, "a")) == [("b",), ("c",)]
+    assert {pick_peer(nodes, "a", s).first().node_id for s in range(12)} == {"b", "c"}
+    assert pick_peer(nodes, "a", 3).collect() == pick_peer(nodes, "a", 3).collect()
+    assert pick_peer(nodes.where("node_id = 'a'"), "a", 1).count() == 0
+
+
+def test_physical_removal(entries, spark):
+    e = entries(("a", b"1", 1, "n", False), (None, b"2", 1, "n", False), ("", b"3", 1, "n", False))
+    out = spark.createDataFrame([("a",), ("a",), (None,)], "key string")
+    assert rows(fold.remove(e, out)) == [("", b"3", 1, "n", False)]
