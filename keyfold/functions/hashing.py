@@ -111,9 +111,8 @@ def hex_hash(col: Column) -> Column:
 
 
 def hex_to_long(h: Column) -> Column:
-    """16 hex digits to the LONG with the same bits."""
-    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+    """16 hex digits to the LONG with the same bits. A negative base makes the number a signed one."""
+    return F.conv(h, 16, -10).cast("long")
 
 
 def long_to_hex(h: Column) -> Column:
