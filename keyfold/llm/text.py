@@ -14,6 +14,8 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*|/)?/?>")
 _PIPED = re.compile(r"\[\[(?!(?:[Ff]ile|[Ii]mage):)[^\[\]|{}\n]*\|([^\[\]|]*)\]\]")
 _EXTERNAL = re.compile(r"\[(?:https?:)?//[^\s\[\]]+")
+#: A template's name before its first argument, or a template without arguments. Longer stretches are text in broken braces.
+_TEMPLATE = re.compile(r"\{\{[^{}|\n]{0,40}(?:\||\}\})")
 _ARGUMENT = re.compile(r"(?<=\|)\s*[\w -]{1,40}=(?!=)")
 _WORD = re.compile(r"[^\W_]+")
 #: Tags that stand inside a line of text and don't part words.
@@ -51,7 +53,7 @@ def visible_words(text: str | None) -> list[str]:
 
     Comments and tags go, of piped links the label stays, character references and letter widths are resolved,
     invisible characters vanish even inside words. Text in cells, quotes and template arguments stays, the names of
-    named arguments don't. Null and empty text have no words.
+    named arguments and those of templates don't. Null and empty text have no words.
     """
     if not text:
         return []
@@ -66,6 +68,9 @@ def visible_words(text: str | None) -> list[str]:
             s = _drop_invisible(s)
     if "[" in s:
         s = _EXTERNAL.sub(" ", _PIPED.sub(r"\1", s))
+    if "{{" in s:
+        # The bar stays for the argument's name that may follow.
+        s = _TEMPLATE.sub(" | ", s)
     if "=" in s and "|" in s:
         s = _ARGUMENT.sub(" ", s)
     return _WORD.findall(s.casefold())
