@@ -61,7 +61,7 @@ def apportion(seats: int, weights: list[float], caps: list[int]) -> list[int]:
             low = mid
         else:
             high = mid
-    got = given(high)
+    got = given(high * (1 + 1e-12))  # short of ties, which the last seats decide
     heap = [(-w[i] / (2 * got[i] + 1), i) for i in range(len(w)) if got[i] < cap[i]]
     heapq.heapify(heap)
     for _ in range(seats - int(got.sum())):
