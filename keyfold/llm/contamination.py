@@ -24,8 +24,9 @@ SPAN = 12
 IGNORED = ((1, 4, 7, 10), (2, 5, 8, 9), (2, 3, 6, 8))
 #: A substituted word in an overlap must be outweighed by this many equal ones.
 SUBSTITUTION = 4
-#: Characters of test passages that are indexed, broadcast and compared at a time; larger test sets go in blocks.
-BLOCK_CHARS = 20_000_000
+#: Characters of test passages that are indexed, broadcast and compared at a time; larger test sets go in blocks. The
+#: index of a block takes about 15 bytes for each of them in every worker.
+BLOCK_CHARS = 4_000_000
 
 
 def _constants(n: int) -> np.ndarray:

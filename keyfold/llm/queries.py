@@ -21,7 +21,8 @@ def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every mix and how often each is used."""
-    return mixing.mix(mixing.count_tokens(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents").where("source is not null")  # those without a source are in no mix
+    return mixing.mix(mixing.count_tokens(docs), table(spark, d, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +38,27 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words and repeated words alone."""
+    return p8_share(spark, d).select("doc_id", "words", "repeated")
+
+
 def p8_fertility(spark: SparkSession, d: str) -> DataFrame:
     """Which documents lie outside the fertility bands of their script."""
     return repetition.fertility_verdicts(repetition.repetition(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_overlaps, p7_mix, p7_shares, p8_found, p8_share, p8_fertility)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p6_found, p6_overlaps, p7_mix, p7_shares, p8_found, p8_share, p8_counts, p8_fertility)}
+_P8 = r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+'), lambda x: lower(x)) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram FROM t),
+r AS (SELECT doc_id, i, len(gram) = 8 AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS again FROM g),
+c AS (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM r),
+n AS (SELECT d.doc_id, len(d.w)::INT AS words, coalesce(s.repeated, 0)::INT AS repeated
+  FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (covered) AS repeated FROM c GROUP BY doc_id) s USING (doc_id))
+"""
+ORACLE: dict[str, str] = {
+    "p8_counts": _P8 + "SELECT doc_id, words, repeated FROM n",
+    "p8_found": _P8 + "SELECT doc_id FROM n WHERE words > 0 AND repeated * 10 >= words * 3",
+}
