@@ -94,6 +94,25 @@ class DeliveryStore:
             raise RuntimeError(f"version {new} was committed by another writer")
         return new
 
+    def compact(self) -> int:
+        """Give each partition one folder and the index one folder of what is current; returns the new version.
+
+        Readers of older versions keep what they opened; folders that no version names can be deleted at leisure."""
+        version, m = self._manifest()
+        rows = self.current()
+        if rows is None:
+            return version
+        new = version + 1
+        data, index_dir, losers = f"{self.path}/data/v{new}", f"{self.path}/index/v{new}", f"{self.path}/losers/v{new}"
+        rows.withColumn("day", F.col("part")).repartition("day", F.pmod(F.xxhash64(self.order), F.lit(8))).write.partitionBy("day").mode("overwrite").parquet(data)
+        rows.select(self._id().alias("id"), "part").distinct().write.mode("overwrite").parquet(index_dir)
+        self.duplicates().write.mode("overwrite").parquet(losers)
+        parts = {n[4:]: [f"{data}/{n}"] for n in list_names(self.spark, data) if n.startswith("day=")}
+        body = {"parts": parts, "index": [index_dir], "losers": [losers], "schema": m["schema"], "rewrote": sorted(parts)}
+        if not create_once(self.spark, f"{self.path}/manifest/v{new:012d}.json", json.dumps(body)):
+            raise RuntimeError(f"version {new} was committed by another writer")
+        return new
+
     def current(self) -> DataFrame | None:
         """One row for each message, or None while nothing was merged."""
         from pyspark.sql.types import StructType

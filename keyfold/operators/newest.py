@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from keyfold.functions.hashing import item_hash, key_hash, unsigned_order
 
 
-def change_order() -> Column:
+def change_order(family: str = "xxh64") -> Column:
     """The project's order of changes: clock, node id by bytes (null is the empty id), item hash unsigned."""
-    h = item_hash(key_hash(F.col("key")), F.col("ts"), F.col("node_id"), F.col("value"), F.col("op") == "del")
+    h = item_hash(key_hash(F.col("key"), family), F.col("ts"), F.col("node_id"), F.col("value"), F.col("op") == "del", family)
     return F.struct(F.col("ts").alias("ts"), F.coalesce("node_id", F.lit("")).alias("node"), unsigned_order(h).alias("hash"))
 
 
@@ -25,7 +25,7 @@ def batch_bounds(log: DataFrame, batches: int) -> list[int]:
     return sorted(set(found))
 
 
-def resolve(log: DataFrame, base: DataFrame | None = None, batches: int = 3, payload: tuple[str, ...] = ("op", "value", "node_id")) -> DataFrame:
+def resolve(log: DataFrame, base: DataFrame | None = None, batches: int = 3, payload: tuple[str, ...] = ("op", "value", "node_id"), family: str = "xxh64") -> DataFrame:
     """The winning change of every key: ``key, ts, seq`` and ``payload``, with ``source`` (``change`` or ``base``).
 
     ``log`` has ``seq, op, key, value, ts, node_id``; a ``del`` wins as a tombstone. The log is cut into batches by its
@@ -48,7 +48,7 @@ def resolve(log: DataFrame, base: DataFrame | None = None, batches: int = 3, pay
     split = [F.coalesce("key", F.lit("")).alias("__k"), F.col("key").isNull().alias("__none")]
     folded = []
     for r in ranges:
-        order = F.struct(change_order().alias("o"), (-F.col("seq")).alias("s"))
+        order = F.struct(change_order(family).alias("o"), (-F.col("seq")).alias("s"))
         folded.append(
             useful.where(r)
             .select(*split, F.struct(order.alias("rank"), F.struct(*payload).alias("payload")).alias("w"))

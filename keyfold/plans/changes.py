@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.operators import celldiff, delivery, ledger, newest, snapdiff
+from keyfold.plans.state import LOG_WITH_HASHES
 from keyfold.session import shared_path, table
 
 CHANGE = ["op", "key", "ts", "node_id", "value"]
@@ -48,6 +49,12 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
     return w.select("key", "value", "ts", "node_id", (F.col("op") == "del").alias("tombstone"))
 
 
+def p3_state_sha64(spark: SparkSession, d: str) -> DataFrame:
+    """The same with ties broken by the hash family that SQL can repeat."""
+    w = newest.resolve(table(spark, d, "mutations"), payload=("op",), family="sha64")
+    return w.select("key", "seq", "ts", "op")
+
+
 def _delivered(spark: SparkSession, d: str, batches: int = 4) -> delivery.DeliveryStore:
     store = delivery.DeliveryStore(spark, shared_path(spark, "deliveries"), MESSAGE, "delivery_id", "received_at")
     for batch in delivery.in_batches(table(spark, d, "pushes"), "delivery_id", batches):
@@ -72,7 +79,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("snapshot_id", "kind").agg(F.count("*").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p4_found, p4_kept, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p3_state_sha64, p4_found, p4_kept, p5_found, p5_summary)}
 
 _P1 = """
 WITH c AS (SELECT min(seq) AS seq, arg_min(landed_at, seq) AS landed FROM mutations GROUP BY op, key, ts, node_id, value),
@@ -112,6 +119,7 @@ n AS (SELECT hi, lag(hi) OVER (ORDER BY hi) AS lo, row_number() OVER (ORDER BY h
 SELECT lo, hi, CASE WHEN nx IS NULL THEN 'pending' ELSE 'done' END AS state, nx.r AS run_id, nx.t AS attempt, first_token FROM n""",
     "p2_found": _P2 + "SELECT key, diff FROM f",
     "p2_summary": _P2 + "SELECT diff, count(*) AS keys FROM f GROUP BY diff",
+    "p3_state_sha64": f"WITH {LOG_WITH_HASHES} SELECT key, seq, ts, op FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, coalesce(node_id, '') DESC, ih DESC, seq) = 1",
     "p4_found": _P4 + "SELECT delivery_id FROM r WHERE n > 1",
     "p4_kept": _P4 + "SELECT delivery_id, replica, op, key, ts, node_id, push_id, value FROM r WHERE n = 1",
     "p5_found": _P5 + "SELECT snapshot_id, key, kind FROM f",

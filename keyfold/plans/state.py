@@ -77,6 +77,7 @@ def _mix_steps(table_: str, n: str) -> str:
 _HEX = "lower(lpad(hex({}), 16, '0'))"
 _M = f"""m AS (SELECT seq, op, key, CASE WHEN op = 'set' THEN value END AS value, ts, node_id, op = 'del' AS tombstone, landed_at, {_h('key')} AS kh FROM mutations),
 r AS (SELECT *, {_item('kh', 'ts', 'node_id', 'value', 'tombstone')} AS ih FROM m)"""
+LOG_WITH_HASHES = _M
 _BEST = "ORDER BY ts DESC, coalesce(node_id, '') DESC, ih DESC, value DESC NULLS LAST, node_id DESC NULLS LAST"
 _E = _M + f""",
 e AS (SELECT *, (kh & 127)::INT AS shard, ((kh >> 16) & 63)::INT AS sub FROM r QUALIFY row_number() OVER (PARTITION BY key {_BEST}) = 1)"""

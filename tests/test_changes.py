@@ -131,6 +131,10 @@ def test_batches_in_any_order_keep_one_copy(spark, order):
     for p in parts:
         store.merge(spark.createDataFrame(p, PUSH.removesuffix(", part int")))
     want = _brute_duplicates(data)
+    if order == "forward":
+        store.compact()
+        assert all(len(dirs) == 1 for dirs in store._manifest()[1]["parts"].values())
+        store.merge(spark.createDataFrame(parts[0], PUSH.removesuffix(", part int")))
     assert sorted(r[0] for r in store.duplicates().collect()) == want
     assert sorted(r.delivery_id for r in store.current().collect()) == sorted({d[0] for d in data} - set(want))
 
