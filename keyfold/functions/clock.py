@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,22 +78,19 @@ def after_now(state: int, now_ms: int) -> int:
 def run_clock(events: DataFrame) -> DataFrame:
     """``node_id, seq, ts``: the state of each node's clock after each event in order.
 
-    ``events``: ``node_id, seq, ms`` (wall clock) and ``remote`` (null: the node stamps a write of its own). Each state
-    depends on the one before, so a node is a sequence by nature; it streams through one task that holds one number.
+    ``events``: ``node_id, seq, ms`` (wall clock, null is 0) and ``remote`` (null: the node stamps a write of its own). An event
+    takes a clock from ``s`` to ``max(s + 1, c)``, where ``c`` is the wall clock or the remote stamp plus 1, whichever is greater; one
+    whose remote stamp isn't believed changes nothing. After ``k`` steps the state therefore is ``k`` plus the greatest
+    ``c - k`` up to there, so two running aggregates do it, without a node ever being gathered in one task.
+    A clock at its ceiling stays there.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        states: dict = {}
-        for f in frames:
-            out = []
-            for node, ms, remote in zip(f["node_id"], f["ms"], f["remote"], strict=True):
-                node = None if pd.isna(node) else node
-                s = states.get(node, 0) if node in states else 0
-                s = after_now(s, int(ms)) if pd.isna(remote) else after_update(s, int(remote), int(ms))
-                states = {node: s}  # nodes come one after the other
-                out.append(s)
-            yield pd.DataFrame({"node_id": f["node_id"], "seq": f["seq"], "ts": out})
-
-    # Remote stamps need all 64 bits, which pandas keeps only for columns without nulls.
-    e = events.select("node_id", "seq", F.coalesce("ms", F.lit(0)).cast("long").alias("ms"), F.col("remote").cast("string").alias("remote"))
-    return e.repartition("node_id").sortWithinPartitions("node_id", "seq").mapInPandas(fold, "node_id string, seq long, ts long")
+    wall = clamp_ms(F.coalesce("ms", F.lit(0)).cast("long"))
+    own = F.col("remote").isNull()
+    step = own | believed(F.col("remote"), wall)
+    top = F.greatest(F.shiftleft(wall, BITS), F.when(~own & (F.col("remote") < MAX_TS), F.col("remote") + 1))
+    e = events.select("node_id", "seq", step.alias("__step"), top.alias("__c")).where("seq is not null")
+    k = running(e, ["node_id"], "seq", F.col("__step").cast("long"), "__k", F.sum, inclusive=True)
+    m = running(k, ["node_id"], "seq", F.when(F.col("__step"), F.col("__c") - F.col("__k")), "__m", F.max, inclusive=True)
+    best = F.greatest(F.coalesce("__m", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    ceiling = F.lit(MAX_TS).cast("long")
+    return m.select("node_id", "seq", F.when(best > ceiling - F.col("__k"), ceiling).otherwise(best + F.col("__k")).alias("ts"))

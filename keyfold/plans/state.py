@@ -568,7 +568,10 @@ def hlc_drift_filter(spark, d):
     return m.select("seq", clock.believed(F.col("ts"), millis("landed_at")).alias("believed"))
 
 
-@query()
+@query("""WITH e AS (SELECT node_id, seq, greatest(epoch_us(landed_at) // 1000, 0) AS ms, CASE WHEN seq % 3 > 0 THEN ts END AS remote FROM mutations WHERE node_id IS NOT NULL),
+b AS (SELECT *, remote IS NULL OR (remote >= 0 AND (remote >> 16) <= ms + 5000) AS step, greatest(ms * 65536, coalesce(remote + 1, 0)) AS c FROM e),
+k AS (SELECT *, sum(step::INT) OVER (PARTITION BY node_id ORDER BY seq) AS k FROM b)
+SELECT node_id, seq, (k + greatest(0, coalesce(max(CASE WHEN step THEN c - k END) OVER (PARTITION BY node_id ORDER BY seq), 0)))::BIGINT AS ts FROM k""")
 def hlc_states(spark, d):
     """State of each node's clock as it takes in the mutations that name it."""
     m = log_of(spark, d).where("node_id is not null")
