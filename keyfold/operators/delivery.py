@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from keyfold.sources.files import create_once, list_names, make_dir, read_text
 
+#: Columns of the store's own.
+PART, DAY, ID = "__part", "__day", "__id"
 #: More partitions than a driver should ever be told by name.
 MAX_PARTITIONS = 100_000
 
@@ -56,12 +58,11 @@ class DeliveryStore:
         """
         version, m = self._manifest()
         new = version + 1
-        incoming = batch.select(*self.identity, self.order, self.received, *(c for c in batch.columns if c not in {*self.identity, self.order, self.received}))
-        incoming = incoming.withColumn("part", self._day()).where(F.col(self.order).isNotNull())
+        incoming = batch.withColumn(PART, self._day()).where(F.col(self.order).isNotNull())
         affected: list[str] = []
         if m["index"]:
-            index = self.spark.read.schema("id long, part string").parquet(*m["index"])
-            hit = index.join(incoming.select(self._id().alias("id")), "id", "left_semi").select("part").distinct()
+            index = self.spark.read.schema(f"{ID} long, {PART} string").parquet(*m["index"])
+            hit = index.join(incoming.select(self._id().alias(ID)), ID, "left_semi").select(PART).distinct()
             affected = sorted(r[0] for r in hit.limit(MAX_PARTITIONS + 1).collect())
             if len(affected) > MAX_PARTITIONS:
                 raise ValueError(f"more than {MAX_PARTITIONS} partitions affected; use coarser partitions")
@@ -73,18 +74,18 @@ class DeliveryStore:
         rest = [c for c in rows.columns if c not in {*self.identity, self.order}]
         winners = (
             rows.groupBy(*self.identity)
-            .agg(F.min(F.struct(F.col(self.order), *rest)).alias("w"))
-            .select(*self.identity, *(F.col("w")[c].alias(c) for c in [self.order, *rest]))
+            .agg(F.min(F.struct(F.col(self.order), *rest)).alias("__w"))
+            .select(*self.identity, *(F.col("__w")[c].alias(c) for c in [self.order, *rest]))
         )
         data, index_dir, losers = f"{self.path}/data/v{new}", f"{self.path}/index/v{new}", f"{self.path}/losers/v{new}"
-        winners.select(*incoming.columns).withColumn("day", F.col("part")).write.partitionBy("day").mode("overwrite").parquet(data)
+        winners.select(*incoming.columns).withColumn(DAY, F.col(PART)).write.partitionBy(DAY).mode("overwrite").parquet(data)
         kept = self.spark.read.schema(incoming.schema).parquet(data)
         rows.select(self.order).join(kept.select(self.order), self.order, "left_anti").write.mode("overwrite").parquet(losers)
         known = set(affected)
         fresh = kept if not known else kept.join(history.select(self.order), self.order, "left_anti")
-        fresh.select(self._id().alias("id"), "part").distinct().write.mode("overwrite").parquet(index_dir)
+        fresh.select(self._id().alias(ID), PART).distinct().write.mode("overwrite").parquet(index_dir)
 
-        wrote = {n[4:]: f"{data}/{n}" for n in list_names(self.spark, data) if n.startswith("day=")}
+        wrote = {n.removeprefix(f"{DAY}="): f"{data}/{n}" for n in list_names(self.spark, data) if n.startswith(f"{DAY}=")}
         parts = {p: d for p, d in m["parts"].items() if p not in known}
         for p, d in wrote.items():
             parts.setdefault(p, [])
@@ -99,15 +100,15 @@ class DeliveryStore:
 
         Readers of older versions keep what they opened; folders that no version names can be deleted at leisure."""
         version, m = self._manifest()
-        rows = self.current()
+        rows = self._current()
         if rows is None:
             return version
         new = version + 1
         data, index_dir, losers = f"{self.path}/data/v{new}", f"{self.path}/index/v{new}", f"{self.path}/losers/v{new}"
-        rows.withColumn("day", F.col("part")).repartition("day", F.pmod(F.xxhash64(self.order), F.lit(8))).write.partitionBy("day").mode("overwrite").parquet(data)
-        rows.select(self._id().alias("id"), "part").distinct().write.mode("overwrite").parquet(index_dir)
+        rows.withColumn(DAY, F.col(PART)).repartition(DAY, F.pmod(F.xxhash64(self.order), F.lit(8))).write.partitionBy(DAY).mode("overwrite").parquet(data)
+        rows.select(self._id().alias(ID), PART).distinct().write.mode("overwrite").parquet(index_dir)
         self.duplicates().write.mode("overwrite").parquet(losers)
-        parts = {n[4:]: [f"{data}/{n}"] for n in list_names(self.spark, data) if n.startswith("day=")}
+        parts = {n.removeprefix(f"{DAY}="): [f"{data}/{n}"] for n in list_names(self.spark, data) if n.startswith(f"{DAY}=")}
         body = {"parts": parts, "index": [index_dir], "losers": [losers], "schema": m["schema"], "rewrote": sorted(parts)}
         if not create_once(self.spark, f"{self.path}/manifest/v{new:012d}.json", json.dumps(body)):
             raise RuntimeError(f"version {new} was committed by another writer")
@@ -115,6 +116,10 @@ class DeliveryStore:
 
     def current(self) -> DataFrame | None:
         """One row for each message, or None while nothing was merged."""
+        rows = self._current()
+        return None if rows is None else rows.drop(PART)
+
+    def _current(self) -> DataFrame | None:
         from pyspark.sql.types import StructType
 
         _, m = self._manifest()

@@ -102,14 +102,14 @@ def test_rows_without_clock_or_kind_are_left_out(log, spark):
 # --- deliveries ---
 
 T0 = datetime(2025, 3, 1)
-PUSH = "delivery_id long, replica string, op string, key string, ts long, node_id string, value binary, received_at timestamp, part int"
+PUSH = "delivery_id long, replica string, op string, key string, ts long, node_id string, value binary, received_at timestamp, part int, day string, id int, w string"
 MSG = ["replica", "op", "key", "ts", "node_id"]
 
 
 def _pushes(spark, n, seed):
     r = random.Random(seed)
     return [
-        (i, r.choice("ab"), "set", r.choice(["hot"] * 3 + list("pqrs") + [None]), r.randint(1, 3), r.choice([None, "", "n"]), None if r.random() < 0.3 else bytearray(bytes([r.randint(0, 9)])), None if r.random() < 0.05 else T0 + timedelta(hours=3 * i), 5)
+        (i, r.choice("ab"), "set", r.choice(["hot"] * 3 + list("pqrs") + [None]), r.randint(1, 3), r.choice([None, "", "n"]), None if r.random() < 0.3 else bytearray(bytes([r.randint(0, 9)])), None if r.random() < 0.05 else T0 + timedelta(hours=3 * i), 5, "d", i, None)
         for i in range(1, n + 1)
     ]
 
@@ -124,25 +124,26 @@ def _brute_duplicates(data):
 
 @pytest.mark.parametrize("order", ["forward", "backward", "twice"])
 def test_batches_in_any_order_keep_one_copy(spark, order):
-    data = [d[:8] for d in _pushes(spark, 120, 4)]
+    data = _pushes(spark, 120, 4)
     parts = [data[i : i + 40] for i in range(0, 120, 40)]
     parts = {"forward": parts, "backward": parts[::-1], "twice": [*parts, parts[1]]}[order]
     store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at")
     for p in parts:
-        store.merge(spark.createDataFrame(p, PUSH.removesuffix(", part int")))
+        store.merge(spark.createDataFrame(p, PUSH))
     want = _brute_duplicates(data)
     if order == "forward":
         store.compact()
         assert all(len(dirs) == 1 for dirs in store._manifest()[1]["parts"].values())
-        store.merge(spark.createDataFrame(parts[0], PUSH.removesuffix(", part int")))
+        store.merge(spark.createDataFrame(parts[0], PUSH))
     assert sorted(r[0] for r in store.duplicates().collect()) == want
     assert sorted(r.delivery_id for r in store.current().collect()) == sorted({d[0] for d in data} - set(want))
+    assert {(r.delivery_id, r.part, r.day, r.id, r.w) for r in store.current().collect()} <= {(d[0], 5, "d", d[0], None) for d in data}
 
 
 def test_only_affected_partitions_are_rewritten(spark):
     store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at")
     day = lambda n: T0 + timedelta(days=n)
-    make = lambda *r: spark.createDataFrame([(i, "a", "set", k, 1, "n", None, t) for i, k, t in r], PUSH.removesuffix(", part int"))
+    make = lambda *r: spark.createDataFrame([(i, "a", "set", k, 1, "n", None, t, 1, "x", 1, "y") for i, k, t in r], PUSH)
     store.merge(make((1, "k1", day(0)), (2, "k2", day(1)), (3, "k3", day(2))))
     store.merge(make((4, "k2", day(5)), (5, "k9", day(5)), (6, "k9", day(5))))
     assert store.rewritten() == ["2025-03-02"]
@@ -154,7 +155,7 @@ def test_two_writers_can_not_commit_one_version(spark):
     path = shared_path(spark, "store")
     store = delivery.DeliveryStore(spark, path, MSG, "delivery_id", "received_at")
     other = delivery.DeliveryStore(spark, path, MSG, "delivery_id", "received_at")
-    batch = spark.createDataFrame([_pushes(spark, 1, 1)[0][:8]], PUSH.removesuffix(", part int"))
+    batch = spark.createDataFrame(_pushes(spark, 1, 1), PUSH)
     state = other._manifest()
     store.merge(batch)
     other._manifest = lambda: state
@@ -165,7 +166,7 @@ def test_two_writers_can_not_commit_one_version(spark):
 def test_empty_batches(spark):
     store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at")
     assert store.current() is None and store.duplicates() is None
-    none = spark.createDataFrame([], PUSH.removesuffix(", part int"))
+    none = spark.createDataFrame([], PUSH)
     store.merge(none)
     store.merge(none)
     assert store.current().count() == store.duplicates().count() == 0
