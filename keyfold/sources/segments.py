@@ -1,6 +1,7 @@
 """The binary segment log as a data source: ``spark.read.format("keyfold_log")`` and ``df.write.format("keyfold_log")``.
 
-A log is a folder of files ``segment-NNN-*.log``; one file is one partition. Files are read and written through the
+A log is a folder of files ``segment-NNN-TIME-SLICE-*.log``; one file is one partition. Within a segment the names sort in the order of
+arrival: by the time of the append, then by its slices of ``seq``, into which a segment that holds much is cut. Files are read and written through the
 path as the executors see it, so on a cluster the folder is a mounted, shared one.
 """
 
@@ -8,17 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import xxhash
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from keyfold.functions.hashing import key_hash, unsigned_mod
 from keyfold.sources import wire
 
 SCHEMA = "seq long, op string, key string, value binary, ts long, node_id string, segment int"
+#: Rows that a slice of an append holds on average over all segments.
+SLICE_ROWS = 500_000
 _NAME = re.compile(r"segment-(\d+)-.*\.log\Z")
 
 
@@ -67,18 +73,19 @@ class LogWriter(DataSourceWriter):
 
     def __init__(self, options: dict):
         self.path, self.segments = options["path"], int(options.get("segments", 16))
+        self.began = time.time_ns()  # on the driver, once for an append
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
-        open_: dict[int, tuple] = {}
+        open_: dict[tuple[int, int], tuple] = {}
         try:
             for r in rows:
-                s = xxhash.xxh64_intdigest((r["key"] or "").encode()) % self.segments
-                if s not in open_:
-                    name = os.path.join(self.path, f"segment-{s:03d}-{uuid.uuid4().hex}.log")
+                s, part = xxhash.xxh64_intdigest((r["key"] or "").encode()) % self.segments, r["slice"] if "slice" in r else 0
+                if (s, part) not in open_:
+                    name = os.path.join(self.path, f"segment-{s:03d}-{self.began:020d}-{part:06d}-{uuid.uuid4().hex}.log")
                     hidden = os.path.join(self.path, f".{os.path.basename(name)}")
-                    open_[s] = (open(hidden, "wb"), hidden, name)
-                open_[s][0].write(wire.frame(wire.encode_entry(r["op"], r["key"], r["value"], r["ts"], r["node_id"])))
+                    open_[s, part] = (open(hidden, "wb"), hidden, name)
+                open_[s, part][0].write(wire.frame(wire.encode_entry(r["op"], r["key"], r["value"], r["ts"], r["node_id"])))
         finally:
             for f, *_ in open_.values():
                 f.flush()
@@ -119,11 +126,17 @@ def register(spark: SparkSession) -> None:
     SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
 
 
-def append(log: DataFrame, path: str, segments: int = 16) -> None:
-    """Write log rows in the order of ``seq``; rows of a key stay in order, as a key has one segment and one task."""
+def append(log: DataFrame, path: str, segments: int = 16, slice_rows: int = SLICE_ROWS) -> None:
+    """Write log rows in the order of ``seq``. A key has one segment; of a long log a segment is cut by ``seq``, so that a
+    key that makes up much of it is written by many tasks and still read back in order."""
     register(log.sparkSession)
-    rows = log.select("op", "key", "value", "ts", "node_id", "seq")
-    rows.repartition(segments, "key").sortWithinPartitions("seq").select("op", "key", "value", "ts", "node_id").write.format("keyfold_log").option("path", path).option("segments", segments).mode("append").save()
+    lo, hi, n = log.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    slices = max(1, (n or 0) // slice_rows)
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // slices))
+    segment = unsigned_mod(key_hash(F.coalesce("key", F.lit(""))), segments)
+    rows = log.select("op", "key", "value", "ts", "node_id", "seq", segment.alias("segment"), F.coalesce(F.expr(f"cast((seq - {lo or 0}L) div {width}L as int)"), F.lit(0)).alias("slice"))
+    spread = rows.repartition(segments * slices, "segment", "slice").sortWithinPartitions("segment", "slice", "seq")
+    spread.select("op", "key", "value", "ts", "node_id", "slice").write.format("keyfold_log").option("path", path).option("segments", segments).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:

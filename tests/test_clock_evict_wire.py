@@ -206,6 +206,16 @@ def test_log_round_trip_and_damage(spark, log, tmp_path):
     assert segments.read(spark, path, "permissive").count() == 51
 
 
+def test_order_of_a_hot_key_over_slices_and_appends(spark, log, tmp_path):
+    path = str(tmp_path / "log")
+    for first in (0, 200):
+        lg = log(*(("set", "hot" if i % 3 else f"k{i}", str(first + i).encode(), 7, "n") for i in range(200)))
+        segments.append(lg, path, 4, slice_rows=30)
+    back = [int(r.value) for r in segments.read(spark, path).where("key = 'hot'").orderBy("seq").collect()]
+    assert back == [f + i for f in (0, 200) for i in range(200) if i % 3]
+    assert len(list((tmp_path / "log").glob("segment-*.log"))) > 8
+
+
 def test_messages_from_peers(spark):
     ok = [wire.encode_entry("set", "k", b"v", 5, "n"), wire.encode_entry("del", "k", None, 6, "n")]
     df = spark.createDataFrame([(bytearray(b),) for b in (*ok, b"garbage", b"")] + [(None,)], "bytes binary")
