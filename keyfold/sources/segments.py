@@ -14,10 +14,11 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from keyfold.functions.hashing import key_hash, unsigned_mod
 from keyfold.sources import wire
@@ -25,6 +26,10 @@ from keyfold.sources import wire
 SCHEMA = "seq long, op string, key string, value binary, ts long, node_id string, segment int"
 #: Rows that a slice of an append holds on average over all segments.
 SLICE_ROWS = 500_000
+#: Entries that a reader hands over at a time.
+BATCH_ROWS = 8192
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+_ENTRY_TYPES = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
 _NAME = re.compile(r"segment-(\d+)-.*\.log\Z")
 
 
@@ -49,18 +54,37 @@ class LogReader(DataSourceReader):
         # Room for 2**40 entries a file, so that seq rises within a file and never repeats between files.
         return [Segment(os.path.join(self.path, n), int(_NAME.match(n)[1]), i << 40) for i, n in enumerate(names)]
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        seq = partition.first
+    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+        first, rows = partition.first, []
+
+        def batch() -> pa.RecordBatch:
+            seqs = pa.array(range(first, first + len(rows)), pa.int64())
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY_TYPES, strict=True)]
+            return pa.record_batch([seqs, *cols, pa.array([partition.number] * len(rows), pa.int32())], names=_COLUMNS)
+
         with open(partition.path, "rb") as f:
             f.seek(self.skip.get(partition.number, 0))
             try:
                 for body in wire.frames(f):
-                    op, key, value, ts, node = wire.decode_entry(body)
-                    yield seq, op, key, value, ts, node, partition.number
-                    seq += 1
+                    rows.append(wire.decode_entry(body))
+                    if len(rows) == BATCH_ROWS:
+                        yield batch()
+                        first, rows = first + len(rows), []
             except wire.CorruptLog:
                 if self.strict:
                     raise
+        if rows:
+            yield batch()
+
+
+def _entries(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[tuple]:
+    """``segment, slice, op, key, value, ts, node_id`` of every row; a frame without slices has one."""
+    for b in batches:
+        have = b.schema.names
+        cols = [b.column(have.index(c)).to_pylist() for c in ("op", "key", "value", "ts", "node_id")]
+        parts = b.column(have.index("slice")).to_pylist() if "slice" in have else [0] * b.num_rows
+        for part, op, key, value, ts, node in zip(parts, *cols, strict=True):
+            yield xxhash.xxh64_intdigest((key or "").encode()) % segments, part, op, key, value, ts, node
 
 
 @dataclass
@@ -68,24 +92,23 @@ class Wrote(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class LogWriter(DataSourceWriter):
+class LogWriter(DataSourceArrowWriter):
     """Options ``path`` and ``segments`` (16). Each task writes hidden files, which the commit renames; a retry leaves none behind."""
 
     def __init__(self, options: dict):
         self.path, self.segments = options["path"], int(options.get("segments", 16))
         self.began = time.time_ns()  # on the driver, once for an append
 
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
         open_: dict[tuple[int, int], tuple] = {}
         try:
-            for r in rows:
-                s, part = xxhash.xxh64_intdigest((r["key"] or "").encode()) % self.segments, r["slice"] if "slice" in r else 0
+            for s, part, *entry in _entries(batches, self.segments):
                 if (s, part) not in open_:
                     name = os.path.join(self.path, f"segment-{s:03d}-{self.began:020d}-{part:06d}-{uuid.uuid4().hex}.log")
                     hidden = os.path.join(self.path, f".{os.path.basename(name)}")
                     open_[s, part] = (open(hidden, "wb"), hidden, name)
-                open_[s, part][0].write(wire.frame(wire.encode_entry(r["op"], r["key"], r["value"], r["ts"], r["node_id"])))
+                open_[s, part][0].write(wire.frame(wire.encode_entry(*entry)))
         finally:
             for f, *_ in open_.values():
                 f.flush()
