@@ -144,12 +144,15 @@ class DeliveryStore:
         return self._manifest()[1].get("rewrote", [])
 
 
-def in_batches(df: DataFrame, order: str, batches: int) -> list[DataFrame]:
-    """``df`` cut into consecutive ranges of ``order`` of about one size; together they hold every row once."""
+def in_batches(df: DataFrame, order: str, batches: int, path: str) -> list[DataFrame]:
+    """``df`` cut into consecutive ranges of ``order`` of about one size, each a folder of its own below ``path``.
+
+    Together they hold every row with an ``order`` once. The input is read once for the cuts, of which only the column
+    ``order``, and once to write the folders; each batch afterwards reads no more than itself.
+    """
     q = df.agg(F.percentile_approx(order, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(q or []))
-    c = F.col(order)
-    return [
-        df.where((F.lit(True) if lo is None else c > lo) & (F.lit(True) if hi is None else c <= hi))
-        for lo, hi in zip([None, *cuts], [*cuts, None], strict=True)
-    ]
+    number = sum(((F.col(order) > c).cast("int") for c in cuts), F.lit(0))
+    df.where(F.col(order).isNotNull()).withColumn(DAY, number).write.partitionBy(DAY).mode("overwrite").parquet(path)
+    names = [n for n in list_names(df.sparkSession, path) if n.startswith(f"{DAY}=")]
+    return [df.sparkSession.read.schema(df.schema).parquet(f"{path}/{n}") for n in sorted(names, key=lambda n: int(n.removeprefix(f"{DAY}=")))]

@@ -57,7 +57,7 @@ def p3_state_sha64(spark: SparkSession, d: str) -> DataFrame:
 
 def _delivered(spark: SparkSession, d: str, batches: int = 4) -> delivery.DeliveryStore:
     store = delivery.DeliveryStore(spark, shared_path(spark, "deliveries"), MESSAGE, "delivery_id", "received_at")
-    for batch in delivery.in_batches(table(spark, d, "pushes"), "delivery_id", batches):
+    for batch in delivery.in_batches(table(spark, d, "pushes"), "delivery_id", batches, shared_path(spark, "received")):
         store.merge(batch)
     return store
 

@@ -170,7 +170,11 @@ def test_empty_batches(spark):
     store.merge(none)
     store.merge(none)
     assert store.current().count() == store.duplicates().count() == 0
-    assert len(delivery.in_batches(none, "delivery_id", 4)) == 1
+    assert delivery.in_batches(none, "delivery_id", 4, shared_path(spark, "in")) == []
+    data = _pushes(spark, 50, 3)
+    parts = delivery.in_batches(spark.createDataFrame(data, PUSH), "delivery_id", 4, shared_path(spark, "in"))
+    ids = [sorted(r.delivery_id for r in p.collect()) for p in parts]
+    assert len(ids) == 4 and sum(ids, []) == list(range(1, 51))
 
 
 # --- snapshots ---
