@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from keyfold.sources.files import create_once, list_names, make_dir, read_text
 
 #: Columns of the store's own.
-PART, DAY, ID = "__part", "__day", "__id"
+PART, DAY, ID, NEW = "__part", "__day", "__id", "__new"
 #: More partitions than a driver should ever be told by name.
 MAX_PARTITIONS = 100_000
 
@@ -58,7 +58,7 @@ class DeliveryStore:
         """
         version, m = self._manifest()
         new = version + 1
-        incoming = batch.withColumn(PART, self._day()).where(F.col(self.order).isNotNull())
+        incoming = batch.withColumn(PART, self._day()).where(F.col(self.order).isNotNull()).withColumn(NEW, F.lit(True))
         affected: list[str] = []
         if m["index"]:
             index = self.spark.read.schema(f"{ID} long, {PART} string").parquet(*m["index"])
@@ -68,10 +68,11 @@ class DeliveryStore:
                 raise ValueError(f"more than {MAX_PARTITIONS} partitions affected; use coarser partitions")
         affected = [p for p in affected if p in m["parts"]]
         history = self._read([d for p in affected for d in m["parts"][p]], incoming.schema)
-        rows = incoming if history is None else history.unionByName(incoming)
+        rows = incoming if history is None else history.withColumn(NEW, F.lit(False)).unionByName(incoming)
 
         # One row a message, folded before the shuffle: a message that makes up much of the batch is no hot spot.
-        rest = [c for c in rows.columns if c not in {*self.identity, self.order}]
+        # Of two rows of one delivery that of history stays, so that a batch which is merged again adds nothing.
+        rest = [NEW, *(c for c in rows.columns if c not in {*self.identity, self.order, NEW})]
         winners = (
             rows.groupBy(*self.identity)
             .agg(F.min(F.struct(F.col(self.order), *rest)).alias("__w"))
@@ -82,8 +83,7 @@ class DeliveryStore:
         kept = self.spark.read.schema(incoming.schema).parquet(data)
         rows.select(self.order).join(kept.select(self.order), self.order, "left_anti").write.mode("overwrite").parquet(losers)
         known = set(affected)
-        fresh = kept if not known else kept.join(history.select(self.order), self.order, "left_anti")
-        fresh.select(self._id().alias(ID), PART).distinct().write.mode("overwrite").parquet(index_dir)
+        kept.where(NEW).select(self._id().alias(ID), PART).distinct().write.mode("overwrite").parquet(index_dir)
 
         wrote = {n.removeprefix(f"{DAY}="): f"{data}/{n}" for n in list_names(self.spark, data) if n.startswith(f"{DAY}=")}
         parts = {p: d for p, d in m["parts"].items() if p not in known}
@@ -117,7 +117,7 @@ class DeliveryStore:
     def current(self) -> DataFrame | None:
         """One row for each message, or None while nothing was merged."""
         rows = self._current()
-        return None if rows is None else rows.drop(PART)
+        return None if rows is None else rows.drop(PART, NEW)
 
     def _current(self) -> DataFrame | None:
         from pyspark.sql.types import StructType
