@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyfold.session import cut
 from keyfold.sources.files import create_once, list_names, make_dir, read_text
 
 #: Slices of time in which the history is ordered; only one row of each slice meets the others in one task.
@@ -154,7 +155,8 @@ def changes_by_run(log: DataFrame, runs: DataFrame, identity: list[str], seq: st
         .select("seq", "__at")
         .where("__at is not null")
     )
-    return locate(first, "__at", done_windows(replay(runs)), ["run_id", "attempt"]).select("run_id", "attempt", "seq")
+    # The windows are few and used twice: for their extent and for the join.
+    return locate(first, "__at", cut(done_windows(replay(runs))), ["run_id", "attempt"]).select("run_id", "attempt", "seq")
 
 
 @dataclass(frozen=True)
