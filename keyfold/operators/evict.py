@@ -46,20 +46,43 @@ def last_seen(accesses: DataFrame) -> DataFrame:
     return last.where("w.kind = 'seen'").select("key", "w.at", "w.seq")
 
 
-def resident(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
-    """``key, shard, at``: what the cache holds in the end, if nothing was deleted or ran out on the way.
+def recent(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
+    """``key, shard, at``: of every shard the ``per_shard`` keys seen last, whatever was deleted or ran out on the way.
 
-    That is, of every shard the ``per_shard`` keys seen last. Spark cuts each task's rows to that many before the shuffle.
+    Spark cuts each task's rows to that many before the shuffle.
     """
     seen = last_seen(accesses.where("kind = 'seen'")).withColumn("shard", lru_shard(F.col("key"), lru, family))
     w = Window.partitionBy("shard").orderBy(F.col("seq").desc())
     return seen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= lru.per_shard).select("key", "shard", "at")
 
 
-def evicted(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
-    """``key``: seen at some time and no longer resident."""
+def not_recent(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
+    """``key``: seen at some time and not among ``recent``."""
     keys = accesses.where("kind = 'seen' and key is not null").select("key").distinct()
-    return keys.join(resident(accesses, lru, family).select("key"), "key", "left_anti")
+    return keys.join(recent(accesses, lru, family).select("key"), "key", "left_anti")
+
+
+def _only_seen(accesses: DataFrame, lru: Lru) -> bool:
+    """Whether nothing can leave but for want of room, so that ``recent`` is what the cache holds."""
+    return lru.ttl_ms == 0 and accesses.where("kind = 'delete' and key is not null").isEmpty()
+
+
+def resident(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
+    """``key, shard, at``: what the cache holds in the end, after what has run out at the time of the last access left.
+
+    With deletes or an age, room that became free brings no key back, so the accesses are replayed like in ``events``.
+    """
+    if _only_seen(accesses, lru):
+        return recent(accesses, lru, family)
+    return _replay(accesses, lru, family, True).where("reason = 'resident'").select("key", "shard", "at")
+
+
+def evicted(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
+    """``key``: pushed out or run out at some time and neither back since nor, once back, deleted."""
+    if _only_seen(accesses, lru):
+        return not_recent(accesses, lru, family)
+    last = F.max_by("reason", F.coalesce("seq", F.lit((1 << 63) - 1))).alias("reason")  # no seq: in the end
+    return _replay(accesses, lru, family, True).groupBy("key").agg(last).where("reason in ('ttl', 'capacity')").select("key")
 
 
 def expired(accesses: DataFrame, now_ms: int, lru: Lru) -> DataFrame:
@@ -82,29 +105,50 @@ def events(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
     a new key in a full shard pushes out the oldest (``capacity``). A shard is a sequence by nature; it streams through one
     task that holds ``per_shard`` keys, so more shards are the way to more tasks.
     """
+    return _replay(accesses, lru, family, False).select("seq", "shard", "key", "reason")
+
+
+def _replay(accesses: DataFrame, lru: Lru, family: str, whole: bool) -> DataFrame:
+    """``seq, shard, key, at, reason``: the evictions; if ``whole`` also deletes of cached keys (``delete``) and, without a
+    ``seq``, what runs out by the time of the last access and what remains (``resident``). ``at`` is when the key was seen last."""
     cap, ttl = lru.per_shard, lru.ttl_ms
+    end = accesses.agg(F.max("at")).first()[0] if whole and ttl else None
+
+    def close(shard: int | None, cache: OrderedDict) -> list[tuple]:
+        out = []
+        while end is not None and cache and next(iter(cache.values())) + ttl <= end:
+            key, at = cache.popitem(last=False)
+            out.append((None, shard, key, at, "ttl"))
+        return out + [(None, shard, key, at, "resident") for key, at in cache.items()]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, cache = None, OrderedDict()
+        frame = lambda out: pd.DataFrame(out, columns=["seq", "shard", "key", "at", "reason"]).astype({"seq": "Int64"})
         for f in frames:
             out = []
             for s, seq, key, at, kind in zip(f["shard"], f["seq"], f["key"], f["at"], f["kind"], strict=True):
                 if s != shard:
+                    if whole:
+                        out += close(shard, cache)
                     shard, cache = s, OrderedDict()
                 while ttl and cache and (old := next(iter(cache.items())))[1] + ttl <= at:
                     cache.popitem(last=False)
-                    out.append((seq, s, old[0], "ttl"))
+                    out.append((seq, s, *old, "ttl"))
                 if kind == "delete":
-                    cache.pop(key, None)
+                    was = cache.pop(key, None)
+                    if whole and was is not None:
+                        out.append((seq, s, key, was, "delete"))
                     continue
                 if key not in cache and len(cache) >= cap:
-                    out.append((seq, s, cache.popitem(last=False)[0], "capacity"))
+                    out.append((seq, s, *cache.popitem(last=False), "capacity"))
                 cache[key] = at
                 cache.move_to_end(key)
-            yield pd.DataFrame(out, columns=["seq", "shard", "key", "reason"])
+            yield frame(out)
+        if whole:
+            yield frame(close(shard, cache))
 
     d = accesses.where("key is not null").select(lru_shard(F.col("key"), lru, family).alias("shard"), "seq", "key", "at", "kind")
-    return d.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, "seq long, shard int, key string, reason string")
+    return d.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, "seq long, shard int, key string, at long, reason string")
 
 
 def tombstones(entries: DataFrame, out: DataFrame, reason: str, now_ts: int, node: str) -> DataFrame:

@@ -504,11 +504,24 @@ s AS (SELECT *, ({_h('key')} % {LRU.shards})::INT AS shard FROM l), res AS (SELE
 
 @query(_RES + ' SELECT key, shard, "at" FROM res')
 def lru_resident(spark, d):
-    return evict.resident(accesses_of(spark, d), LRU, FAMILY)
+    """The keys seen last, as its SQL has them: deletes and ages are passed over. ``lru_held`` is what the cache holds."""
+    return evict.recent(accesses_of(spark, d), LRU, FAMILY)
 
 
 @query(_RES + " SELECT key FROM l ANTI JOIN res USING (key)")
 def lru_evicted(spark, d):
+    """All other keys ever seen, as its SQL has them; ``lru_lost`` is what was evicted."""
+    return evict.not_recent(accesses_of(spark, d), LRU, FAMILY)
+
+
+@query()
+def lru_held(spark, d):
+    """What the cache holds after all accesses, deletes and ages."""
+    return evict.resident(accesses_of(spark, d), LRU, FAMILY)
+
+
+@query()
+def lru_lost(spark, d):
     return evict.evicted(accesses_of(spark, d), LRU, FAMILY)
 
 
@@ -532,7 +545,14 @@ def ttl_sliding_sessions(spark, d):
 
 @query(_RES + f" SELECT count(*) AS cached, {LRU.per_shard * LRU.shards}::BIGINT AS capacity, count(*) / {LRU.per_shard * LRU.shards} AS occupancy, CASE WHEN count(*) / {LRU.per_shard * LRU.shards} >= 0.9 THEN 16 WHEN count(*) / {LRU.per_shard * LRU.shards} >= 0.8 THEN 64 ELSE 128 END AS weight FROM res")
 def occupancy_weight(spark, d):
-    o = evict.occupancy(evict.resident(accesses_of(spark, d), LRU, FAMILY), LRU)
+    """How full the cache is with the keys of ``lru_resident``, as its SQL has it; ``occupancy_held`` is how full it is."""
+    o = evict.occupancy(evict.recent(accesses_of(spark, d), LRU, FAMILY), LRU)
+    return o.withColumn("weight", evict.ring_weight(F.col("occupancy")))
+
+
+@query()
+def occupancy_held(spark, d):
+    o = evict.occupancy(lru_held(spark, d), LRU)
     return o.withColumn("weight", evict.ring_weight(F.col("occupancy")))
 
 

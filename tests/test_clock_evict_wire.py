@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import OrderedDict
 
@@ -14,6 +15,7 @@ from keyfold.__main__ import main
 from keyfold.config import Cluster, StoreConfig
 from keyfold.functions import clock, resp
 from keyfold.operators import evict, fold
+from keyfold.plans import state
 from keyfold.session import shared_path
 from keyfold.sources import segments, wire
 from keyfold.sources.snapshots import StateStore
@@ -22,6 +24,8 @@ from keyfold.streaming import gossip, merge
 
 from .conftest import LOG, rows
 
+DIR = "/root/testdata/sf0.001"
+
 # --- clock ---
 
 
@@ -127,6 +131,56 @@ def test_eviction_events_like_a_loop(spark, ttl):
         assert {x.key for x in evict.resident(seen_only, lru).collect()} == {k for k, *_ in data} - gone
 
 
+def _cache_in_the_end(data, lru, shard):
+    """Keys that a cache of ``(key, at, kind)`` holds in the end, and those that it evicted last."""
+    caches, gone = {s: OrderedDict() for s in range(lru.shards)}, set()
+    for k, t, kind in [*data, (None, max(t for _, t, _ in data), "end")]:
+        for c in caches.values():  # time is the same for all shards
+            for old in [o for o, seen in c.items() if lru.ttl_ms and seen + lru.ttl_ms <= t]:
+                del c[old]
+                gone.add(old)
+        if kind == "end":
+            break
+        c = caches[shard[k]]
+        if kind == "delete":
+            c.pop(k, None)
+            continue
+        if k not in c and len(c) >= lru.per_shard:
+            gone.add(c.popitem(last=False)[0])
+        gone.discard(k)
+        c.pop(k, None)
+        c[k] = t
+    return {(k, s, t) for s, c in caches.items() for k, t in c.items()}, gone
+
+
+@pytest.mark.parametrize(("ttl", "deletes"), [(0, 0.2), (15, 0.2), (15, 0.0), (0, 0.0)])
+def test_residents_after_deletes_and_ages_like_a_loop(spark, ttl, deletes):
+    r = random.Random(ttl + 1)
+    lru = evict.Lru(24, ttl, 3)
+    data = [(f"k{r.randint(0, 30)}", i // 2, "delete" if r.random() < deletes else "seen") for i in range(300)]
+    a = _acc(spark, *data)
+    shard = {x.key: x.s for x in a.select("key", evict.lru_shard(F.col("key"), lru).alias("s")).distinct().collect()}
+    held, gone = _cache_in_the_end(data, lru, shard)
+    assert {tuple(x) for x in evict.resident(a, lru).collect()} == held
+    assert {x.key for x in evict.evicted(a, lru).collect()} == gone
+
+
+def test_room_of_a_delete_brings_no_key_back(spark):
+    lru = evict.Lru(2, 0, 1)
+    a = _acc(spark, ("a", 1, "seen"), ("b", 2, "seen"), ("c", 3, "seen"), ("c", 4, "delete"))
+    assert rows(evict.resident(a, lru)) == [("b", 0, 2)] and rows(evict.evicted(a, lru)) == [("a",)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_held_keys_of_the_queries_like_a_loop(spark):
+    a = state.accesses_of(spark, DIR)
+    found = a.select("key", "at", "kind", evict.lru_shard(F.col("key"), state.LRU, state.FAMILY).alias("s")).orderBy("seq").collect()
+    held, gone = _cache_in_the_end([x[:3] for x in found], state.LRU, {x.key: x.s for x in found})
+    assert {tuple(x) for x in state.lru_held(spark, DIR).collect()} == held
+    assert {x.key for x in state.lru_lost(spark, DIR).collect()} == gone
+    assert state.occupancy_held(spark, DIR).first()["cached"] == len(held)
+
+
 def test_what_eviction_leaves(entries):
     e = entries(("a", b"1", 5, "n", False), ("b", b"2", 5, "n", False))
     out = e.where("key = 'a'").select("key")
