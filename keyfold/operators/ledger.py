@@ -5,8 +5,10 @@ attempt reports or its lease runs out, and *done* for good once an attempt with
 Tokens rise with every lease, so a writer that lost its lease can't complete anything. Each item and token has one
 output path, which a retry overwrites and which readers see only through the ledger.
 
-Two forms share these rules. ``replay`` folds a finished history of attempts with DataFrame operators; it is what
-the queries use. ``WorkLedger`` keeps a live ledger in a shared folder and ``process_new`` runs a job through it.
+``replay`` folds a finished history of attempts into items with DataFrame operators; it is what the queries use. A
+history tells which attempts were ok, not which leases ran out before they reported, so there an ok attempt is taken to
+have held its lease. ``WorkLedger`` keeps a live ledger in a shared folder, where leases run out and completions under a
+stale token are rejected, and ``process_new`` runs a job through it; no query over the test tables does.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ def replay(runs: DataFrame) -> DataFrame:
 
     One row per window between the starts of two attempts: ``lo`` (exclusive; null: from the beginning), ``hi``
     (inclusive), ``state`` (``done`` or ``pending``), the ``run_id`` and ``attempt`` that completed it, the fencing
-    ``token`` it was completed under, and ``leases``, how often it was leased up to then. Times are microseconds.
+    ``token`` it was completed under, and ``leases``, how often it was leased up to then (pending: so far). Every attempt
+    takes the next token, so ``first_token`` is that of the item's first lease. Times are microseconds.
     An attempt leases every open item with ``hi`` up to its start; only an ok one completes them, so the item goes to
     the earliest ok attempt that started at or after ``hi``. Of attempts with one start the ok one counts, then the
     one with the smallest ``run_id`` and ``attempt``. An empty ledger gives no items.
@@ -68,34 +71,29 @@ def replay(runs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(~F.col("ok"), "run_id", "attempt", "outcome")).alias("w"))
         .select("at", F.expr("(at - {}) div {}".format(lo or 0, width)).alias("slice"), "w.run_id", "w.attempt", (F.col("w.outcome") == "done").alias("ok"))
     )
+    w = Window.partitionBy("slice").orderBy("at")
+    a = a.withColumn("rank", F.row_number().over(w))
     per = a.groupBy("slice").agg(
         F.count("*").alias("n"),
         F.max("at").alias("last_at"),
         F.count_if("ok").alias("n_ok"),
-        F.min(F.when(F.col("ok"), F.struct("at", "run_id", "attempt"))).alias("first_ok"),
-        F.max(F.when(F.col("ok"), F.col("at"))).alias("last_ok"),
+        F.min(F.when(F.col("ok"), F.struct("at", "run_id", "attempt", "rank"))).alias("first_ok"),
     )
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    per = per.withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    per = per.withColumn("first_ok", F.when(F.col("first_ok").isNotNull(), F.struct("first_ok.at", "first_ok.run_id", "first_ok.attempt", (F.col("rank0") + F.col("first_ok.rank")).alias("token"))))
     per = per.select(
         "slice",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"),
+        "rank0",
+        F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
         F.last("last_at", True).over(before).alias("prev_at0"),
-        F.last("last_ok", True).over(before).alias("prev_ok0"),
         F.first("first_ok", True).over(after).alias("next_ok0"),
     )
-    w = Window.partitionBy("slice").orderBy("at")
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
     down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ok_row = F.when(F.col("ok"), F.struct("at", "run_id", "attempt"))
-    b = a.select(
-        "*",
-        F.row_number().over(w).alias("rank"),
-        F.lag("at").over(w).alias("prev_at"),
-        F.last(F.when(F.col("ok"), F.col("at")), True).over(past).alias("prev_ok"),
-        F.first(ok_row, True).over(down).alias("next_ok"),
-    ).join(per, "slice")
+    b = a.join(per, "slice").withColumn("token", F.col("rank0") + F.col("rank"))
+    ok_row = F.when(F.col("ok"), F.struct("at", "run_id", "attempt", "token"))
+    b = b.select("*", F.lag("at").over(w).alias("prev_at"), F.first(ok_row, True).over(down).alias("next_ok"))
     nxt = F.coalesce("next_ok", "next_ok0")
     return b.select(
         F.coalesce("prev_at", "prev_at0").alias("lo"),
@@ -104,19 +102,12 @@ def replay(runs: DataFrame) -> DataFrame:
         nxt["run_id"].alias("run_id"),
         nxt["attempt"].alias("attempt"),
         nxt["at"].alias("done_at"),
-        (F.col("rank0") + F.col("rank")).alias("first_token"),
-        F.coalesce("prev_ok", "prev_ok0").alias("prev_ok"),
-        F.col("ok"),
+        F.col("token").alias("first_token"),
+        nxt["token"].alias("token"),
+        (F.coalesce(nxt["token"], "all") - F.col("token") + 1).alias("leases"),
     )
 
 
-def done_windows(items: DataFrame) -> DataFrame:
-    """Work of each completing run as one window: ``lo`` (exclusive, null: from the beginning), ``hi``, ``run_id``, ``attempt``.
-
-    The items that one attempt completed lie side by side, from the last completed window to its own start."""
-    return items.where("ok").select(F.col("prev_ok").alias("lo"), "hi", "run_id", "attempt")
-
-
 def locate(points: DataFrame, at: str, windows: DataFrame, carry: list[str]) -> DataFrame:
     """``points`` with the ``carry`` columns of the one window ``(lo, hi]`` that holds ``at``; others fall away.
 
@@ -145,8 +136,8 @@ def changes_by_run(log: DataFrame, runs: DataFrame, identity: list[str], seq: st
     """``run_id, attempt, seq``: every change of ``log`` under the run that has to process it.
 
     Rows equal in ``identity`` (nulls equal, an empty value different from null) are one change, which lands with its
-    smallest ``seq``. Changes after the last completed window, and those that never landed, are still pending and
-    have no row. Copies are folded before anything is shuffled; extra columns are not read.
+    smallest ``seq`` in one work item, and is processed by the attempt that completed it. Changes of pending items, after
+    the last item, and those that never landed, have no row. Copies are folded before anything is shuffled; extra columns are not read.
     """
     first = (
         log.select(*identity, seq, micros(F.col(landed)).alias("__at"))
@@ -155,8 +146,9 @@ def changes_by_run(log: DataFrame, runs: DataFrame, identity: list[str], seq: st
         .select("seq", "__at")
         .where("__at is not null")
     )
-    # The windows are few and used twice: for their extent and for the join.
-    return locate(first, "__at", cut(done_windows(replay(runs))), ["run_id", "attempt"]).select("run_id", "attempt", "seq")
+    done = replay(runs).where("state = 'done'").select("lo", "hi", "run_id", "attempt")
+    # The items are few and used twice: for their extent and for the join.
+    return locate(first, "__at", cut(done), ["run_id", "attempt"]).select("run_id", "attempt", "seq")
 
 
 @dataclass(frozen=True)

@@ -37,6 +37,31 @@ def test_failed_runs_hand_their_work_on(spark):
     assert items == [("done", 1, 1), ("done", 2, 2), ("done", 2, 3), ("done", 2, 4), ("pending", None, 5)]
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_items_know_their_leases_and_the_token_of_completion(spark, slices, monkeypatch):
+    monkeypatch.setattr(ledger, "MAX_SLICES", slices)
+    monkeypatch.setattr(ledger, "min", lambda a, b: a, raising=False)
+    runs = [(1, 1, "ok", 10), (2, 1, "failed", 20), (2, 2, None, 25), (2, 3, "ok", 30), (3, 1, "aborted", 40), (4, 1, None, 55)]
+    starts = [t for *_, t in runs]
+    want = []
+    for n, hi in enumerate(starts):
+        by = next((k for k in range(n, len(runs)) if runs[k][2] == "ok"), None)  # each attempt leases all that is open
+        lo = starts[n - 1] if n else None
+        want.append((lo, hi, *(("pending", None, None, None, len(runs) - n) if by is None else ("done", *runs[by][:2], by + 1, by - n + 1))))
+    base = spark.createDataFrame([(T0,)], "t timestamp").select(ledger.micros(F.col("t"))).first()[0]
+    minutes = lambda x: None if x is None else (x - base) // 60_000_000
+    got = [(minutes(x.lo), minutes(x.hi), x.state, x.run_id, x.attempt, x.token, x.leases) for x in ledger.replay(_runs(spark, *runs)).orderBy("hi").collect()]
+    assert got == want
+
+
+def test_changes_are_processed_by_what_completed_their_item(spark, monkeypatch):
+    items = ledger.replay
+    monkeypatch.setattr(ledger, "replay", lambda runs: items(runs).withColumn("state", F.when(F.col("first_token") == 2, "pending").otherwise(F.col("state"))))
+    runs = _runs(spark, (1, 1, "ok", 10), (2, 1, "failed", 20), (2, 2, "ok", 30))
+    cs = _changes(spark, ("a", "n", b"1", 5), ("b", "n", b"1", 15), ("c", "n", b"1", 25))
+    assert rows(ledger.changes_by_run(cs, runs, ID)) == [(1, 1, 1), (2, 2, 3)]
+
+
 def test_nulls_and_empty_values_are_different_changes(spark):
     runs = _runs(spark, (1, 1, "ok", 10))
     cs = _changes(spark, ("a", None, None, 1), ("a", None, b"", 2), ("a", None, None, 3), (None, "n", b"", 4), (None, "n", b"", 5), ("a", "", None, 6), ("z", "n", b"", None))
