@@ -22,6 +22,8 @@ SPAN = 12
 #: Positions that each mask ignores. The ends always count; each inner position is ignored by at least one mask,
 #: so that twelve words in line are hit even if any one inner word was replaced.
 IGNORED = ((1, 4, 7, 10), (2, 5, 8, 9), (2, 3, 6, 8))
+#: Words that may be replaced within SPAN words in line, so that the masks still find every such pair.
+REPLACED = 1
 #: A substituted word in an overlap must be outweighed by this many equal ones.
 SUBSTITUTION = 4
 #: Characters of test passages that are indexed, broadcast and compared at a time; larger test sets go in blocks. The
@@ -84,6 +86,12 @@ class TestIndex:
 
     def overlaps(self, texts: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """``(text, item, longest equal run, overlap, substitutions)`` of every text and item with a hit."""
+        return [x[:5] for x in self.compared(texts)]
+
+    def compared(self, texts: list[list[str]]) -> list[tuple[int, int, int, int, int, int | None]]:
+        """The same and the fewest words replaced within SPAN words in line whose ends are equal.
+
+        Each is the best over all lines on which text and item have a hit."""
         if not self.items or not texts:
             return []
         get = self.vocabulary.get
@@ -106,15 +114,15 @@ class TestIndex:
             row = np.repeat(first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pos = np.repeat(pos, n)
             lines.append(np.stack([owner[pos], who[row], pos - at[row]], 1))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], list] = {}
         for text, item, shift in np.unique(np.concatenate(lines), axis=0).tolist():
             begin, end, passage = int(ends[text] - lens[text]), int(ends[text]), self.passages[item]
             lo, hi = max(begin, shift), min(end, shift + len(passage))
-            found = _compare(ids[lo:hi] == passage[lo - shift : hi - shift])
-            key = (text, item)
-            if key not in best or found > best[key]:
-                best[key] = found
-        return [(t, i, *v) for (t, i), v in best.items()]
+            same = ids[lo:hi] == passage[lo - shift : hi - shift]
+            run, overlap, substitutions = _compare(same)
+            found = [run, (overlap, -substitutions), -_replaced(same)]
+            best[text, item] = list(map(max, best.get((text, item), found), found))
+        return [(t, i, run, overlap, -s, -r if -r <= SPAN else None) for (t, i), (run, (overlap, s), r) in best.items()]
 
 
 def _compare(same: np.ndarray) -> tuple[int, int, int]:
@@ -129,12 +137,21 @@ def _compare(same: np.ndarray) -> tuple[int, int, int]:
     return run, stop - start, int((~same[start:stop]).sum())
 
 
+def _replaced(same: np.ndarray) -> int:
+    """Fewest unequal words among SPAN words in line whose ends are equal; more than SPAN where there are none."""
+    wrong = np.concatenate([[0], np.cumsum(~same)])
+    n = (wrong[SPAN:] - wrong[:-SPAN])[same[: 1 - SPAN] & same[SPAN - 1 :]]
+    return int(n.min()) if len(n) else SPAN + 1
+
+
 def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc, item, run, overlap, substitutions`` for every document that shares a seed with a test passage.
+    """``doc, item, run, overlap, substitutions, replaced`` for every document that shares a seed with a test passage.
 
     ``run`` is the longest run of equal words, ``overlap`` the longest stretch in which equal words outweigh
-    substituted ones by SUBSTITUTION to one, with ``substitutions`` of them. Every pair with SPAN equal words in line
-    is found, and every pair with SPAN words in line of which an inner one was replaced.
+    substituted ones by SUBSTITUTION to one, with ``substitutions`` of them, and ``replaced`` the fewest words replaced
+    within SPAN words in line whose ends are equal, or null; each on the line where it is best. Every pair with SPAN
+    equal words in line is found (``replaced`` 0), and every pair with SPAN words in line of which an inner one was
+    replaced (1). For more of them, not every pair is found.
 
     Words are those of ``visible_words``. Null or short texts and passages have no rows; rows repeated with one id
     count as one document or item; other columns aren't read; empty tables give an empty result. The test set is a
@@ -143,7 +160,7 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     """
     spark = corpus.sparkSession
     ids = {"doc": corpus.schema[doc].dataType.simpleString(), "item": items.schema[item].dataType.simpleString()}
-    schema = f"doc {ids['doc']}, item {ids['item']}, run int, overlap int, substitutions int"
+    schema = f"doc {ids['doc']}, item {ids['item']}, run int, overlap int, substitutions int, replaced int"
     item_type = pa.schema([pa.field("x", _arrow(ids["item"]))]).field(0).type
     chars = items.agg(F.sum(F.length(passage))).first()[0] or 0
     blocks = -(-chars // block_chars)
@@ -155,19 +172,19 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, 1):
-                got = index.value.overlaps([visible_words(t) for t in part.column(1).to_pylist()])
+                got = index.value.compared([visible_words(t) for t in part.column(1).to_pylist()])
                 if got:
                     t, i, *rest = zip(*got, strict=True)
                     yield pa.record_batch(
                         [part.column(0).take(pa.array(t)), pa.array([index.value.items[k] for k in i], item_type), *(pa.array(x, pa.int32()) for x in rest)],
-                        names=["doc", "item", "run", "overlap", "substitutions"],
+                        names=["doc", "item", "run", "overlap", "substitutions", "replaced"],
                     )
 
         part = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null").mapInArrow(scan, schema)
         found = found.unionByName(part) if b else part
-    best = F.max(F.struct("run", "overlap", (-F.col("substitutions")).alias("s"))).alias("b")
-    return found.groupBy("doc", "item").agg(best).select(
-        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("b.run").alias("run"), F.col("b.overlap").alias("overlap"), (-F.col("b.s")).alias("substitutions")
+    best = F.max(F.struct("overlap", (-F.col("substitutions")).alias("s"))).alias("b")
+    return found.groupBy("doc", "item").agg(F.max("run").alias("run"), best, F.min("replaced").alias("replaced")).select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "run", F.col("b.overlap").alias("overlap"), (-F.col("b.s")).alias("substitutions"), "replaced"
     )
 
 

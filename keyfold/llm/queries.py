@@ -15,8 +15,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """All overlaps around seed hits, with substituted words counted."""
-    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("overlap") >= contamination.SPAN)
+    """All pairs with SPAN words in line of which at most REPLACED inner ones differ, and all longer overlaps around seed hits."""
+    found = contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where((F.col("overlap") >= contamination.SPAN) | (F.col("replaced") <= contamination.REPLACED)).drop("replaced")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

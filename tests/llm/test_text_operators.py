@@ -10,7 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from keyfold.llm import contamination, mixing, repetition, tokens
+from keyfold.llm import contamination, mixing, queries, repetition, tokens
 from keyfold.llm.text import visible_words
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -85,6 +85,23 @@ def test_one_substituted_word_is_no_escape():
     assert index.overlaps([text]) == [(0, 0, 17, 33, 1)]
 
 
+def test_query_keeps_every_pair_with_one_word_replaced(spark, tmp_path):
+    p = WORDS[:12]
+    docs = [(hole, " ".join(["x", *p[:hole], "changed", *p[hole + 1 :], "y"])) for hole in range(1, 11)]
+    docs += [(20, " ".join(p)), (21, " ".join([*p[:3], "no", "no", *p[5:]])), (22, " ".join(["no", *p[1:]]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(p))], "item_id long, passage string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    assert {x.doc_id for x in queries.p6_overlaps(spark, str(tmp_path)).collect()} == {*range(1, 11), 20}
+
+
+def test_run_and_overlap_are_the_best_of_all_lines(spark):
+    p = WORDS[:60]
+    one, two = p[:13], [*p[20:30], "changed", *p[31:41], "changed", *p[42:52]]
+    text = [*one, *["x"] * 30, *two]
+    index = contamination.TestIndex.build([(7, " ".join(p))])
+    assert index.compared([text]) == [(0, 0, 13, 32, 2, 0)]
+
+
 def test_windows_do_not_cross_texts():
     index = contamination.TestIndex.build([(1, " ".join(WORDS[:12]))])
     assert index.overlaps([WORDS[:6], WORDS[6:12]]) == []
