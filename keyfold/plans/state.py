@@ -316,7 +316,9 @@ def wal_binary_round_trip(spark, d):
 def stream_persisted(spark, d):
     """The log as a stream, appended to a store batch by batch, with snapshots in between."""
     store = StateStore(spark, shared_path(spark, "streamed"), FAMILY)
-    feed = merge.log_feed(spark, f"{d}/mutations.parquet*", log_of(spark, d).schema, 4)
+    log, arrived = log_of(spark, d), shared_path(spark, "arrived")
+    log.repartitionByRange(20, "seq").write.mode("overwrite").parquet(arrived)  # five batches, of which the last is the tail
+    feed = merge.log_feed(spark, arrived, log.schema, 4)
     merge.persist(feed, store, shared_path(spark, "progress"), snapshot_every=2).awaitTermination()
     return store.state()
 

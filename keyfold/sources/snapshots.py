@@ -1,7 +1,7 @@
 """Versioned snapshots of key state and the log tail after each, in one shared folder.
 
-A version is a Parquet folder and a manifest that can be created only once; the manifest names the last log row that the
-snapshot covers. Readers see the newest manifest, so a snapshot appears whole or not at all.
+A version is a Parquet folder and a manifest that can be created only once; the manifest names the log files that the
+snapshot covers, whatever the order in which their rows came. Readers see the newest manifest, so a snapshot appears whole or not at all.
 """
 
 from __future__ import annotations
@@ -39,43 +39,49 @@ class StateStore:
         names = [n for n in list_names(self.spark, f"{self.path}/manifest") if n.endswith(".json")]
         return json.loads(read_text(self.spark, f"{self.path}/manifest/{names[-1]}")) if names else None
 
+    def _files(self) -> list[str]:
+        return [n for n in list_names(self.spark, f"{self.path}/log") if not n.startswith(("_", "."))]
+
+    def _tail(self, m: dict | None, files: list[str]) -> DataFrame:
+        """Rows of those of ``files`` that the snapshot of manifest ``m`` doesn't cover."""
+        covered = set(m.get("files", [])) if m else ()
+        new = [f"{self.path}/log/{n}" for n in files if n not in covered]
+        if not new:
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        rows = self.spark.read.schema(LOG_SCHEMA).parquet(*new)
+        return rows.where(F.col("seq") > m["seq"]) if m and "files" not in m else rows  # written before files were named
+
     def state(self) -> DataFrame:
         """Entries recovered from the newest snapshot and the log after it."""
         m = self._latest()
         if m is None:
-            base, tail = self.spark.createDataFrame([], ENTRY_SCHEMA), self.log()
+            base = self.spark.createDataFrame([], ENTRY_SCHEMA)
         else:
             base = self.spark.read.schema(ENTRY_SCHEMA).parquet(m["data"])
-            tail = self.log().where(F.col("seq") > m["seq"])  # reaches the scan
-        return recover(base, tail, self.family)
+        return recover(base, self._tail(m, self._files()), self.family)
 
     def snapshot(self) -> int:
-        """Write a new version; returns its number. Late log rows with a small ``seq`` must not be appended after it."""
+        """Write a new version; returns its number. Log rows appended since stay in the tail, however small their ``seq``."""
         if not self.snapshots:
             raise RuntimeError("snapshots are disabled")
         m = self._latest()
-        seq = self.log().agg(F.max("seq")).first()[0]
+        files = self._files()
+        tail = self._tail(m, files)
+        seq = tail.agg(F.max("seq")).first()[0]
         version = 1 if m is None else m["version"] + 1
         covered = max(x for x in (seq, m["seq"] if m else None, -(1 << 62)) if x is not None)
         base = self.spark.createDataFrame([], ENTRY_SCHEMA) if m is None else self.spark.read.schema(ENTRY_SCHEMA).parquet(m["data"])
-        upto = self.log().where((F.col("seq") <= covered) & (F.lit(True) if m is None else F.col("seq") > m["seq"]))
         data = f"{self.path}/snapshots/v{version}"
-        recover(base, upto, self.family).write.mode("overwrite").parquet(data)
-        if not create_once(self.spark, f"{self.path}/manifest/{version:012d}.json", json.dumps({"version": version, "seq": covered, "data": data})):
+        recover(base, tail, self.family).write.mode("overwrite").parquet(data)
+        if not create_once(self.spark, f"{self.path}/manifest/{version:012d}.json", json.dumps({"version": version, "seq": covered, "files": files, "data": data})):
             raise RuntimeError(f"version {version} was written by another process")
         return version
 
     def clear_log(self) -> None:
-        """Drop the log rows that the newest snapshot covers."""
+        """Drop the log files that the newest snapshot covers; none, if it is of a time when files weren't named."""
         m = self._latest()
-        if m is None:
-            return
-        kept = f"{self.path}/log-after-v{m['version']}"
-        self.log().where(F.col("seq") > m["seq"]).write.mode("overwrite").parquet(kept)
-        delete(self.spark, f"{self.path}/log")
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(kept).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.rename(fs_path(kept), fs_path(f"{self.path}/log"))
+        for n in m.get("files", []) if m else []:
+            delete(self.spark, f"{self.path}/log/{n}")
 
     def has(self, version: int) -> bool:
         return exists(self.spark, f"{self.path}/manifest/{version:012d}.json")

@@ -15,6 +15,7 @@ from keyfold.__main__ import main
 from keyfold.config import Cluster, StoreConfig
 from keyfold.functions import clock, resp
 from keyfold.operators import evict, fold
+from keyfold.operators.fold import ENTRY
 from keyfold.plans import state
 from keyfold.session import shared_path
 from keyfold.sources import segments, wire
@@ -350,6 +351,32 @@ def test_stream_equals_batch(spark, log, tmp_path):
     assert rows(store.state()) == rows(merge.batch_equivalent(lg))
 
 
+def test_snapshots_cover_files_and_lose_no_late_rows(spark, log):
+    r = random.Random(9)
+    lg = log(*((r.choice(["set", "set", "del"]), f"k{r.randint(0, 30)}", b"x", r.randint(1, 99), "n1") for _ in range(90)))
+    store = StateStore(spark, shared_path(spark, "late"))
+    for n, (lo, hi) in enumerate([(60, 90), (0, 30), (30, 60)]):
+        store.append(lg.where(f"seq > {lo} and seq <= {hi}"))
+        if n < 2:
+            store.snapshot()
+    want = rows(merge.batch_equivalent(lg))
+    assert rows(store.state()) == want
+    store.clear_log()
+    assert sorted(x.seq for x in store.log().collect()) == [*range(31, 61)] and rows(store.state()) == want
+    assert store.snapshot() == 3 and rows(store.state()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_streamed_query_has_batches_snapshots_and_a_tail(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(state, "StateStore", lambda *a: kept.append(StateStore(*a)) or kept[0])
+    found = state.stream_persisted(spark, DIR)
+    (store,) = kept
+    m = store._latest()
+    assert m["version"] == 2 and 0 < len(m["files"]) < len(store._files())
+    assert rows(found.select(*ENTRY)) == rows(merge.batch_equivalent(state.log_of(spark, DIR), state.FAMILY).select(*ENTRY))
+
+
 # --- settings ---
 
 
