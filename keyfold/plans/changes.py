@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyfold.operators import celldiff, delivery, ledger, newest, snapdiff
 from keyfold.plans.state import LOG_WITH_HASHES
 from keyfold.session import shared_path, table
+from keyfold.sources.files import delete
 
 CHANGE = ["op", "key", "ts", "node_id", "value"]
 MESSAGE = ["replica", "op", "key", "ts", "node_id"]
@@ -57,8 +58,10 @@ def p3_state_sha64(spark: SparkSession, d: str) -> DataFrame:
 
 def _delivered(spark: SparkSession, d: str, batches: int = 4) -> delivery.DeliveryStore:
     store = delivery.DeliveryStore(spark, shared_path(spark, "deliveries"), MESSAGE, "delivery_id", "received_at")
-    for batch in delivery.in_batches(table(spark, d, "pushes"), "delivery_id", batches, shared_path(spark, "received")):
+    staged = shared_path(spark, "received")
+    for batch in delivery.in_batches(table(spark, d, "pushes"), "delivery_id", batches, staged):
         store.merge(batch)
+    delete(spark, staged)
     return store
 
 

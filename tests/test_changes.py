@@ -140,15 +140,38 @@ def test_batches_in_any_order_keep_one_copy(spark, order):
     assert {(r.delivery_id, r.part, r.day, r.id, r.w) for r in store.current().collect()} <= {(d[0], 5, "d", d[0], None) for d in data}
 
 
-def test_only_affected_partitions_are_rewritten(spark):
-    store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at")
+def test_only_partitions_that_lose_a_winner_are_rewritten(spark):
+    store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at", buckets=1)
     day = lambda n: T0 + timedelta(days=n)
     make = lambda *r: spark.createDataFrame([(i, "a", "set", k, 1, "n", None, t, 1, "x", 1, "y") for i, k, t in r], PUSH)
-    store.merge(make((1, "k1", day(0)), (2, "k2", day(1)), (3, "k3", day(2))))
-    store.merge(make((4, "k2", day(5)), (5, "k9", day(5)), (6, "k9", day(5))))
-    assert store.rewritten() == ["2025-03-02"]
-    assert sorted(r[0] for r in store.duplicates().collect()) == [4, 6]
-    assert sorted(r.key for r in store.current().collect()) == ["k1", "k2", "k3", "k9"]
+    store.merge(make((11, "k1", day(0)), (12, "k2", day(1)), (13, "k3", day(2))))
+    store.merge(make((14, "k2", day(5)), (15, "k9", day(5)), (16, "k9", day(5)), (16, "k9", day(5))))
+    assert store.affected() == ["2025-03-02.0"] and store.rewritten() == []
+    assert sorted(r[0] for r in store.duplicates().collect()) == [14, 16]
+    store.merge(make((1, "k3", day(5)), (2, "k1", day(0)), (17, "k2", day(1)), (18, "k8", day(1)), (18, "k8", day(1))))
+    assert store.affected() == ["2025-03-01.0", "2025-03-02.0", "2025-03-03.0"] and store.rewritten() == ["2025-03-01.0", "2025-03-03.0"]
+    assert sorted(r[0] for r in store.duplicates().collect()) == [11, 13, 14, 16, 17]
+    assert rows(store.current().select("key", "delivery_id")) == [("k1", 2), ("k2", 12), ("k3", 1), ("k8", 18), ("k9", 15)]
+
+
+@pytest.mark.parametrize("limits", [(0, 1), (10**6, 16)])
+def test_joins_by_shuffle_and_by_broadcast_agree(spark, limits, monkeypatch):
+    monkeypatch.setattr(delivery, "BROADCAST_IDS", limits[0])
+    monkeypatch.setattr(delivery, "INDEX_FOLDERS", limits[1])
+    data = _pushes(spark, 200, 8)
+    random.Random(1).shuffle(data)
+    store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at", buckets=3)
+    for i in range(0, 200, 50):
+        store.merge(spark.createDataFrame(data[i : i + 50], PUSH))
+    assert sorted(r[0] for r in store.duplicates().collect()) == _brute_duplicates(data)
+    assert store.current().count() == 200 - len(_brute_duplicates(data))
+    assert len(store._manifest()[1]["index"]) <= limits[1]
+
+
+def test_a_delivery_without_an_order_is_an_error(spark):
+    store = delivery.DeliveryStore(spark, shared_path(spark, "store"), MSG, "delivery_id", "received_at")
+    with pytest.raises(Exception, match="has no delivery_id"):
+        store.merge(spark.createDataFrame([(None, *_pushes(spark, 1, 1)[0][1:])], PUSH))
 
 
 def test_two_writers_can_not_commit_one_version(spark):
