@@ -6,10 +6,8 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 
-from keyfold.functions.hashing import np_xx64_longs
 from keyfold.operators import celldiff, delivery, newest, snapdiff
 from keyfold.session import shared_path
 from keyfold.streaming.merge import plain_item_hash
@@ -227,9 +225,9 @@ def _brute_snapshots(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("cells", [3, 1536])
-def test_snapshots_like_sets(spark, cells):
-    r = random.Random(cells)
+@pytest.mark.parametrize(("bucket", "cells"), [(1, 0.0), (150, 0.01), (65_536, 0.375)])
+def test_snapshots_like_sets(spark, bucket, cells):
+    r = random.Random(bucket)
     data = []
     for s in (3, 7, 8, 20):
         for k in [f"k{i}" for i in range(150)] + [None, ""]:
@@ -239,7 +237,7 @@ def test_snapshots_like_sets(spark, cells):
                 data += [(s, k, v, t, r.random() < 0.1)] * r.choice([1, 1, 2])
                 if t and r.random() < 0.2:
                     data.append((s, k, b"older", t - 1, False))
-    got = snapdiff.snapshot_changes(_snaps(spark, data), keys_per_bucket=40, first_cells=cells)
+    got = snapdiff.snapshot_changes(_snaps(spark, data), bucket_rows=bucket, first_cells=cells)
     assert rows(got) == _brute_snapshots(data)
 
 
@@ -256,22 +254,34 @@ def test_tombstones_and_equal_clocks(spark):
 def test_peel_gives_up_on_a_full_table_and_finds_all_in_a_roomy_one():
     rng = np.random.default_rng(1)
     n = 60
-    e = {c: rng.integers(-(1 << 62), 1 << 62, n) for c in ("k1", "k2", "v1", "v2")}
-    chk = np_xx64_longs(*e.values())
+    e = {c: rng.integers(-(1 << 62), 1 << 62, n) for c in ("k1", "k2", "v")}
+    e["chk"] = snapdiff.check(*e.values())
+    half = [{c: x[i::2] for c, x in e.items()} for i in (0, 1)]
     for m, ok in ((10, False), (60, True)):
-        cells: dict = {}
-        for j in range(snapdiff.HASHES):
-            place = snapdiff._np_place(e["k1"], e["k2"], e["v1"], j, m)
-            for i in range(n):
-                c = cells.setdefault(int(place[i]), [0] * 6)
-                c[0] += 1 if i % 2 else -1
-                for q, x in enumerate([*e.values(), chk], 1):
-                    c[q] ^= int(x[i])
-        pdf = pd.DataFrame([(k, *v) for k, v in cells.items()], columns=["cell", "cnt", "k1", "k2", "v1", "v2", "chk"])
-        got = snapdiff.peel(pdf, m)
+        a, b = snapdiff.Table(m), snapdiff.Table(m)
+        a.put(half[0])
+        b.put(half[1])
+        got = a.minus(b).peel()
         assert (got is not None) == ok
         if ok:
-            assert sorted(zip(got.k1, got.sign, strict=True)) == sorted((int(k), 1 if i % 2 else -1) for i, k in enumerate(e["k1"]))
+            assert sorted(zip(got["k1"], got["sign"], strict=True)) == sorted((k, -1 if i % 2 else 1) for i, k in enumerate(e["k1"]))
+    t = snapdiff.Table(60)
+    t.put(e)
+    t.digest ^= 1
+    assert t.peel() is None  # what was peeled isn't what the digest says
+    got = snapdiff.subtract(half[0], half[1], 0.0)
+    assert len(got["k1"]) == n
+
+
+def test_buckets_end_between_keys_whatever_the_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    data = [(s, f"k{i}", str(i * (s == 2 and i % 7 == 0)).encode(), 1, False) for s in (1, 2, 5) for i in range(60)] + [(1, "hot", b"x", t, False) for t in range(100)] + [(2, "hot", b"x", 99, False)]
+    try:
+        for n in (1, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert rows(snapdiff.snapshot_changes(_snaps(spark, data), bucket_rows=20)) == _brute_snapshots(data)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def test_a_hot_key_of_copies(log):

@@ -72,3 +72,22 @@ def test_newest_first_shuffles_each_batch_once(spark):
     final = _plan(df).split("Initial Plan")[0]
     scans = {line.strip() for line in final.splitlines() if "FileScan" in line}
     assert len(scans) <= 3 and "ReusedExchange" in final
+
+
+def _exchanges(df) -> list[str]:
+    """The subtree of each shuffle of the plan before it ran."""
+    lines = _plan(df).split("Initial Plan")[-1].splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+    out = []
+    for i, line in enumerate(lines):
+        if " Exchange " in line:
+            end = next((k for k in range(i + 1, len(lines)) if depth(lines[k]) <= depth(line)), len(lines))
+            out.append("\n".join(lines[i:end]))
+    return out
+
+
+def test_snapshots_move_hashes_once(spark):
+    found = _exchanges(changes.p5_found(spark, DIR))
+    assert len(found) == 1
+    moved = next(x for x in found[0].splitlines() if "MapInArrow" in x)
+    assert "key#" in moved and "k1#" in moved and "value#" not in moved
