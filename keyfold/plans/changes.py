@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.operators import celldiff, delivery, ledger, newest, snapdiff
-from keyfold.plans.state import LOG_WITH_HASHES
+from keyfold.operators import celldiff, delivery, fold, ledger, newest, snapdiff
+from keyfold.plans.state import CUT, LOG_WITH_HASHES
 from keyfold.session import shared_path, table
 from keyfold.sources.files import delete
 
@@ -56,6 +56,15 @@ def p3_state_sha64(spark: SparkSession, d: str) -> DataFrame:
     return w.select("key", "seq", "ts", "op")
 
 
+def p3_onto_base(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the state at a cut, to which the changes that landed after it are applied, some of them older than the state."""
+    log = table(spark, d, "mutations")
+    late = F.coalesce(F.col("landed_at") >= F.lit(CUT).cast("timestamp"), F.lit(True))
+    state = fold.fold(fold.as_entries(log.where(~late)), "sha64")
+    base = state.select("key", "ts", F.when(F.col("tombstone"), "del").otherwise("set").alias("op"), "value", "node_id")
+    return newest.resolve(log.where(late), base, family="sha64").select("key", "ts", "op")
+
+
 def _delivered(spark: SparkSession, d: str, batches: int = 4) -> delivery.DeliveryStore:
     store = delivery.DeliveryStore(spark, shared_path(spark, "deliveries"), MESSAGE, "delivery_id", "received_at")
     staged = shared_path(spark, "received")
@@ -82,7 +91,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("snapshot_id", "kind").agg(F.count("*").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p3_state_sha64, p4_found, p4_kept, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p3_state_sha64, p3_onto_base, p4_found, p4_kept, p5_found, p5_summary)}
 
 _P1 = """
 WITH c AS (SELECT min(seq) AS seq, arg_min(landed_at, seq) AS landed FROM mutations GROUP BY op, key, ts, node_id, value),
@@ -123,6 +132,7 @@ SELECT lo, hi, CASE WHEN nx IS NULL THEN 'pending' ELSE 'done' END AS state, nx.
     "p2_found": _P2 + "SELECT key, diff FROM f",
     "p2_summary": _P2 + "SELECT diff, count(*) AS keys FROM f GROUP BY diff",
     "p3_state_sha64": f"WITH {LOG_WITH_HASHES} SELECT key, seq, ts, op FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, coalesce(node_id, '') DESC, ih DESC, seq) = 1",
+    "p3_onto_base": f"WITH {LOG_WITH_HASHES} SELECT key, ts, op FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, coalesce(node_id, '') DESC, ih DESC, seq) = 1",
     "p4_found": _P4 + "SELECT delivery_id FROM r WHERE n > 1",
     "p4_kept": _P4 + "SELECT delivery_id, replica, op, key, ts, node_id, push_id, value FROM r WHERE n = 1",
     "p5_found": _P5 + "SELECT snapshot_id, key, kind FROM f",

@@ -72,8 +72,8 @@ def _resolved(log_, **kw):
     return {r.key: (r.op, r.seq, r.ts) for r in newest.resolve(log_, **kw).collect()}
 
 
-@pytest.mark.parametrize("batches", [1, 3, 6])
-def test_newest_first_like_a_loop(log, batches):
+@pytest.mark.parametrize(("batches", "room"), [(1, 0), (3, 1 << 20), (4, 150), (6, 0)])
+def test_newest_first_like_a_loop(log, batches, room):
     r = random.Random(batches)
     steps = [(r.choice(["set", "set", "del"]), r.choice(["hot"] * 8 + list("abcdefgh") + [None, ""]), r.choice([None, b"", b"x", b"y"]), r.randint(-5, 30), r.choice([None, "", "n1", "n2"])) for _ in range(400)]
     best: dict = {}
@@ -81,7 +81,7 @@ def test_newest_first_like_a_loop(log, batches):
         rank = (ts, (n or "").encode(), plain_item_hash(k, v, ts, n, op == "del"), -seq)
         if k not in best or rank > best[k][0]:
             best[k] = (rank, op)
-    assert _resolved(log(*steps), batches=batches) == {k: (op, -x[3], x[0]) for k, (x, op) in best.items()}
+    assert _resolved(log(*steps), batches=batches, broadcast_bytes=room) == {k: (op, -x[3], x[0]) for k, (x, op) in best.items()}
 
 
 def test_base_rows_stay_where_nothing_changed(log, spark):
@@ -91,6 +91,14 @@ def test_base_rows_stay_where_nothing_changed(log, spark):
     assert {r.key for r in newest.resolve(spark.createDataFrame([], LOG), base).collect()} == {"a", "z", None}
 
 
+@pytest.mark.parametrize("room", [0, 1 << 20])
+def test_late_changes_lose_to_the_base(log, spark, room):
+    base = spark.createDataFrame([("a", 5, "set", bytearray(b"base"), "n"), ("b", 5, "del", None, "n"), ("c", 5, "set", bytearray(b"same"), "n"), ("d", 5, "set", None, None)], "key string, ts long, op string, value binary, node_id string")
+    late = log(("set", "a", b"late", 4, "n"), ("set", "b", b"new", 6, "n"), ("set", "c", b"same", 5, "n"), ("del", "e", None, 1, "n"))
+    got = {r.key: (r.op, r.value and bytes(r.value), r.ts, r.source) for r in newest.resolve(late, base, broadcast_bytes=room).collect()}
+    assert got == {"a": ("set", b"base", 5, "base"), "b": ("set", b"new", 6, "change"), "c": ("set", b"same", 5, "change"), "d": ("set", None, 5, "base"), "e": ("del", None, 1, "change")}
+
+
 def test_rows_without_clock_or_kind_are_left_out(log, spark):
     assert _resolved(log(("set", "a", b"1", None, "n"), ("move", "b", b"1", 1, "n"), (None, "c", b"1", 1, "n"), ("set", "d", b"1", 1, "n"))) == {"d": ("set", 4, 1)}
     assert _resolved(spark.createDataFrame([], LOG)) == {}

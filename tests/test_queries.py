@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from keyfold.operators import newest
 from keyfold.plans import changes, state
 
 DIR = "/root/testdata/sf0.001"
@@ -66,12 +67,18 @@ def test_no_query_holds_all_rows_against_all(spark):
         assert "CartesianProduct" not in p and "NestedLoop" not in p, name
 
 
-def test_newest_first_shuffles_each_batch_once(spark):
-    df = changes.p3_found(spark, DIR)
-    df.collect()
-    final = _plan(df).split("Initial Plan")[0]
-    scans = {line.strip() for line in final.splitlines() if "FileScan" in line}
-    assert len(scans) <= 3 and "ReusedExchange" in final
+def test_newest_first_drops_resolved_keys_before_it_folds(spark):
+    rows = spark.range(5).selectExpr("cast(id as string) as __k", "false as __none", "struct(id) as w")
+    p = _plan(newest.unresolved(rows, rows, True)).splitlines()
+    at = lambda what: [i for i, x in enumerate(p) if what in x]
+    assert "BroadcastHashJoin" in p[at("LeftAnti")[0]] and at("LeftAnti")[0] > at("Aggregate")[-1]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        q = _plan(newest.unresolved(rows, rows, False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert q.index("LeftAnti") < q.index("Aggregate")
 
 
 def _exchanges(df) -> list[str]:
