@@ -5,10 +5,10 @@ attempt reports or its lease runs out, and *done* for good once an attempt with
 Tokens rise with every lease, so a writer that lost its lease can't complete anything. Each item and token has one
 output path, which a retry overwrites and which readers see only through the ledger.
 
-``replay`` folds a finished history of attempts into items with DataFrame operators; it is what the queries use. A
-history tells which attempts were ok, not which leases ran out before they reported, so there an ok attempt is taken to
-have held its lease. ``WorkLedger`` keeps a live ledger in a shared folder, where leases run out and completions under a
-stale token are rejected, and ``process_new`` runs a job through it; no query over the test tables does.
+``WorkLedger`` keeps the ledger in a shared folder, ``process_new`` processes what has landed since the last item through it.
+``replay`` folds a finished history of attempts into items with DataFrame operators: each attempt leases all that is open under
+the next token, whatever held it before. ``changes_by_run`` joins the two: the changes of a log are processed item by item through a
+live ledger, and what an item writes are its changes with the attempts that a history says completed them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyfold.session import cut
+from keyfold.session import cut, shared_path
 from keyfold.sources.files import create_once, list_names, make_dir, read_text
 
 #: Slices of time in which the history is ordered; only one row of each slice meets the others in one task.
@@ -132,25 +132,6 @@ def locate(points: DataFrame, at: str, windows: DataFrame, carry: list[str]) ->
     )
 
 
-def changes_by_run(log: DataFrame, runs: DataFrame, identity: list[str], seq: str = "seq", landed: str = "landed_at") -> DataFrame:
-    """``run_id, attempt, seq``: every change of ``log`` under the run that has to process it.
-
-    Rows equal in ``identity`` (nulls equal, an empty value different from null) are one change, which lands with its
-    smallest ``seq`` in one work item, and is processed by the attempt that completed it. Changes of pending items, after
-    the last item, and those that never landed, have no row. Copies are folded before anything is shuffled; extra columns are not read.
-    """
-    first = (
-        log.select(*identity, seq, micros(F.col(landed)).alias("__at"))
-        .groupBy(*identity)
-        .agg(F.min(seq).alias("seq"), F.min("__at").alias("__at"))  # arrival never falls as seq grows
-        .select("seq", "__at")
-        .where("__at is not null")
-    )
-    done = replay(runs).where("state = 'done'").select("lo", "hi", "run_id", "attempt")
-    # The items are few and used twice: for their extent and for the join.
-    return locate(first, "__at", cut(done), ["run_id", "attempt"]).select("run_id", "attempt", "seq")
-
-
 @dataclass(frozen=True)
 class Lease:
     item: str
@@ -169,7 +150,8 @@ class WorkLedger:
 
     Every transition is one numbered file which can be created only once, so two workers that act on the same state
     can't both succeed; the loser reads the new state and tries again. Every ``compact_every`` transitions the state
-    is folded into one file. Only open items and the outputs of done ones are held in memory.
+    is folded into one file, and what was done since the fold before into another, which is never read again but by ``outputs``.
+    A transition reads and holds open items, and done ones since the last fold.
     """
 
     def __init__(self, spark: SparkSession, path: str, compact_every: int = 64):
@@ -186,9 +168,10 @@ class WorkLedger:
     def _state(self) -> tuple[int, dict]:
         names = list_names(self.spark, self.path)
         folds = [n for n in names if n.startswith("state-") and n.endswith(".json")]
-        at, state = -1, {"items": {}, "token": 0, "mark": None, "done": {}}
+        at, state = -1, {"items": {}, "token": 0, "mark": None}
         if folds:
             state, at = self._read(folds[-1]), int(folds[-1][6:18])
+        state["done"] = {}
         for n in names:
             if n.startswith("event-") and n.endswith(".json") and int(n[6:18]) == at + 1:
                 self._apply(state, self._read(n))
@@ -220,7 +203,8 @@ class WorkLedger:
             if self._create(f"event-{at + 1:012d}.json", event):
                 self._apply(state, event)
                 if (at + 2) % self.compact_every == 0:
-                    self._create(f"state-{at + 1:012d}.json", state)
+                    self._create(f"closed-{at + 1:012d}.json", state["done"])  # first, so that a fold never hides an output
+                    self._create(f"state-{at + 1:012d}.json", {k: v for k, v in state.items() if k != "done"})
                 return event
             time.sleep(0.05)
 
@@ -230,7 +214,7 @@ class WorkLedger:
         def decide(s: dict) -> dict | None:
             if s["mark"] is not None and hi <= s["mark"]:
                 return None
-            return {"kind": "add", "item": f"{'start' if s['mark'] is None else s['mark']}-{hi}", "lo": s["mark"], "hi": hi}
+            return {"kind": "add", "item": f"{'start' if s['mark'] is None else s['mark']}_{hi}", "lo": s["mark"], "hi": hi}
 
         e = self._transact(decide)
         return e and e["item"]
@@ -241,7 +225,7 @@ class WorkLedger:
 
         def decide(s: dict) -> dict | None:
             free = [(i["hi"], k) for k, i in s["items"].items() if i["state"] == "pending" or i["until"] <= now]
-            return {"kind": "lease", "item": min(free)[1], "token": s["token"] + 1, "until": now + ttl} if free else None
+            return {"kind": "lease", "item": sorted(free)[0][1], "token": s["token"] + 1, "until": now + ttl} if free else None
 
         e = self._transact(decide)
         if e is None:
@@ -274,38 +258,101 @@ class WorkLedger:
 
         self._transact(decide)
 
+    def _done(self) -> dict[str, dict]:
+        """Done items in the order of their windows."""
+        done = self._state()[1]["done"]
+        for n in list_names(self.spark, self.path):
+            if n.startswith("closed-") and n.endswith(".json"):
+                done = self._read(n) | done
+        return dict(sorted(done.items(), key=lambda x: int(x[0].split("_")[1])))
+
     def states(self, now: float | None = None) -> dict[str, str]:
         now = time.time() if now is None else now
         _, s = self._state()
         open_ = {k: "pending" if i["state"] == "leased" and i["until"] <= now else i["state"] for k, i in s["items"].items()}
-        return {**{k: "done" for k in s["done"]}, **open_}
+        return {**{k: "done" for k in self._done()}, **open_}
 
     def outputs(self) -> list[str]:
         """Paths of the done items, the only ones that readers may open."""
-        return [d["output"] for d in self._state()[1]["done"].values()]
+        return [d["output"] for d in self._done().values()]
+
+
+#: Halves of the identity of a change: 128 bits of hash.
+CHANGE = ["change_hi", "change_lo"]
+
+
+def with_identity(rows: DataFrame, identity: list[str]) -> DataFrame:
+    """``rows`` with CHANGE, equal for rows equal in ``identity``; nulls are equal, and an empty value differs from null."""
+    parts = [*identity, *(F.col(c).isNull() for c in identity)]
+    return rows.withColumns({c: F.xxhash64(F.lit(i), *parts) for i, c in enumerate(CHANGE)})
 
 
 def process_new(
-    ledger: WorkLedger, source: DataFrame, landed: str, sink: str, work: Callable[[DataFrame], DataFrame], ttl: float = 3600, now: float | None = None
+    ledger: WorkLedger, source: DataFrame, landed: str, sink: str, work: Callable[[DataFrame], DataFrame], ttl: float = 3600, now: float | None = None,
+    upto: int | None = None, identity: list[str] | None = None, order: str | None = None,
 ) -> list[str]:
     """Process what has landed in ``source`` since the last completed item; returns the outputs written.
 
-    ``work`` gets the rows of one window. A failure gives the item back and is raised; a crash leaves a lease that
-    runs out. Either way the next call processes exactly the open windows. An output lies under its item and token.
+    The new item ends at ``upto`` (microseconds), through which the source must be complete; by default right before the newest arrival
+    that is visible, as more rows may come with that very time. Rows without an arrival are in no item.
+
+    ``work`` gets the rows of one item. With ``identity``, rows equal in these columns are one change, which arrives as often as it likes
+    and is handed out once: ``work`` gets ``order``, the least of the copies, its ``landed`` and CHANGE, which its result must keep; changes that a done
+    item has put out are left out. Copies fold before they are moved.
+
+    A failure gives the item back and is raised; a crash leaves a lease that runs out. Either way the next call processes
+    exactly the open windows. An output lies under its item and token; where the lease ran out on the way it stays unseen, and
+    StaleToken is raised.
     """
-    newest = source.select(F.max(micros(F.col(landed)))).first()[0]
-    if newest is not None:
-        ledger.add(newest)
+    t = F.col(landed) if dict(source.dtypes)[landed] == "timestamp" else F.col(landed).cast("timestamp")
+    if upto is None:
+        newest = source.select(F.max(micros(t))).first()[0]
+        upto = None if newest is None else newest - 1
+    if upto is not None:
+        ledger.add(upto)
     wrote = []
     while lease := ledger.lease(ttl, now):
-        t = micros(F.col(landed))
-        rows = source.where((t <= lease.hi) & (F.lit(True) if lease.lo is None else t > lease.lo))
+        rows = source.where((t <= F.timestamp_micros(F.lit(lease.hi))) & (F.lit(True) if lease.lo is None else t > F.timestamp_micros(F.lit(lease.lo))))
         out = f"{sink.rstrip('/')}/item={lease.item}/token={lease.token}"
         try:
+            if identity:
+                rows = with_identity(rows, identity).groupBy(*CHANGE).agg(F.min(order).alias(order), F.min(landed).alias(landed))
+                if known := ledger.outputs():
+                    rows = rows.join(ledger.spark.read.parquet(*known).select(*CHANGE), CHANGE, "left_anti")
             work(rows).write.mode("overwrite").parquet(out)
         except Exception:
-            ledger.give_back(lease, now)
+            try:
+                ledger.give_back(lease, now)
+            except StaleToken:
+                pass  # somebody else has the item; what went wrong here is raised all the same
             raise
         ledger.complete(lease, out, now)
         wrote.append(out)
     return wrote
+
+
+def changes_by_run(log: DataFrame, runs: DataFrame, identity: list[str], seq: str = "seq", landed: str = "landed_at", items: int = 3) -> DataFrame:
+    """``run_id, attempt, seq``: every change of ``log`` under the run that has to process it.
+
+    Rows equal in ``identity`` (nulls equal, an empty value different from null) are one change, which lands with its
+    smallest ``seq``; arrival never falls as ``seq`` grows. The history ``runs`` says which windows were done by which attempt (``replay``).
+    The log is processed through a live ledger in as many ``items``, which end with windows of the history: each is leased, reads its own stretch of the
+    log, leaves out changes of items done before, and writes the rest with their attempts under its item and token; the result
+    is read from the outputs of done items. Changes of pending windows, after the last window, and those that never
+    landed, have no row. Copies are folded before anything is moved; of the log only 128 bits a change are. Extra columns are not read.
+    """
+    spark = log.sparkSession
+    windows = cut(replay(runs).where("state = 'done'").select("lo", "hi", "run_id", "attempt"))
+    ends = windows.agg(F.percentile_approx("hi", [(i + 1) / items for i in range(items)], 1000)).first()[0]
+    schema = "run_id {}, attempt {}, {} {}".format(*(dict(d.dtypes)[c] for d, c in ((runs, "run_id"), (runs, "attempt"))), seq, dict(log.dtypes)[seq])
+    if not ends:
+        return spark.createDataFrame([], schema)
+    ledger, sink = WorkLedger(spark, shared_path(spark, "ledger")), shared_path(spark, "changes")
+
+    def attempts_of(rows: DataFrame) -> DataFrame:
+        found = locate(rows.withColumn("__at", micros(F.col(landed))), "__at", windows, ["run_id", "attempt"])
+        return found.select("run_id", "attempt", seq, *CHANGE)
+
+    for end in sorted(set(ends)):
+        process_new(ledger, log.select(*{*identity, seq, landed}), landed, sink, attempts_of, upto=end, identity=identity, order=seq)
+    return spark.read.schema(schema).parquet(*ledger.outputs())

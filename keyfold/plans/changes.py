@@ -26,6 +26,12 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select(t("lo"), t("hi"), "state", "run_id", "attempt", "first_token")
 
 
+def p1_leases(spark: SparkSession, d: str) -> DataFrame:
+    """Under which token each work item was completed, and how often it had been leased up to then."""
+    items = ledger.replay(table(spark, d, "sync_runs"))
+    return items.select(F.timestamp_micros("hi").alias("hi"), "token", "leases")
+
+
 def p1_run_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Changes that each completing run had to process."""
     found = ledger.changes_by_run(table(spark, d, "mutations"), table(spark, d, "sync_runs"), CHANGE)
@@ -91,7 +97,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("snapshot_id", "kind").agg(F.count("*").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p3_state_sha64, p3_onto_base, p4_found, p4_kept, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_leases, p1_run_sizes, p2_found, p2_summary, p3_found, p3_state, p3_state_sha64, p3_onto_base, p4_found, p4_kept, p5_found, p5_summary)}
 
 _P1 = """
 WITH c AS (SELECT min(seq) AS seq, arg_min(landed_at, seq) AS landed FROM mutations GROUP BY op, key, ts, node_id, value),
@@ -129,6 +135,10 @@ WITH a AS (SELECT started_at AS hi, arg_min(struct_pack(r := run_id, t := attemp
 n AS (SELECT hi, lag(hi) OVER (ORDER BY hi) AS lo, row_number() OVER (ORDER BY hi) AS first_token,
     first_value(CASE WHEN w.ok THEN w END IGNORE NULLS) OVER (ORDER BY hi ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM a)
 SELECT lo, hi, CASE WHEN nx IS NULL THEN 'pending' ELSE 'done' END AS state, nx.r AS run_id, nx.t AS attempt, first_token FROM n""",
+    "p1_leases": """
+WITH a AS (SELECT started_at AS hi, max(coalesce(status, '') = 'ok') AS ok, row_number() OVER (ORDER BY started_at) AS token, count(*) OVER () AS n FROM sync_runs GROUP BY started_at)
+SELECT a.hi, (SELECT min(b.token) FROM a b WHERE b.ok AND b.hi >= a.hi) AS token,
+  coalesce((SELECT min(b.token) FROM a b WHERE b.ok AND b.hi >= a.hi), a.n) - a.token + 1 AS leases FROM a""",
     "p2_found": _P2 + "SELECT key, diff FROM f",
     "p2_summary": _P2 + "SELECT diff, count(*) AS keys FROM f GROUP BY diff",
     "p3_state_sha64": f"WITH {LOG_WITH_HASHES} SELECT key, seq, ts, op FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, coalesce(node_id, '') DESC, ih DESC, seq) = 1",

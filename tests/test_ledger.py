@@ -96,14 +96,14 @@ def test_random_histories_like_a_loop(spark, slices, monkeypatch):
 def test_leases_run_out_and_stale_writers_are_rejected(spark):
     lg = ledger.WorkLedger(spark, shared_path(spark, "ledger"), compact_every=3)
     assert lg.lease(10, now=0) is None
-    assert lg.add(100) == "start-100" and lg.add(100) is None and lg.add(250) == "100-250"
+    assert lg.add(100) == "start_100" and lg.add(100) is None and lg.add(250) == "100_250"
     a = lg.lease(10, now=0)
     assert (a.lo, a.hi, a.token) == (None, 100, 1)
     b = lg.lease(10, now=1)
     assert (b.lo, b.hi, b.token) == (100, 250, 2)
     assert lg.lease(10, now=5) is None
-    assert lg.states(now=5) == {"start-100": "leased", "100-250": "leased"}
-    assert lg.states(now=10)["start-100"] == "pending"
+    assert lg.states(now=5) == {"start_100": "leased", "100_250": "leased"}
+    assert lg.states(now=10)["start_100"] == "pending"
     c = lg.lease(10, now=10)  # the first lease ran out
     assert c.item == a.item and c.token == 3
     with pytest.raises(ledger.StaleToken):
@@ -112,7 +112,7 @@ def test_leases_run_out_and_stale_writers_are_rejected(spark):
     with pytest.raises(ledger.StaleToken):
         lg.complete(c, "again", now=12)
     lg.give_back(b, now=5)
-    assert lg.states(now=12) == {"start-100": "done", "100-250": "pending"}
+    assert lg.states(now=12) == {"start_100": "done", "100_250": "pending"}
     assert lg.outputs() == ["new"]
     again = ledger.WorkLedger(spark, lg.path)
     assert again.states(now=12) == lg.states(now=12)
@@ -126,21 +126,94 @@ def test_processing_survives_failures_without_loss_or_repetition(spark):
     def seen():
         return sorted(r[0] for p in lg.outputs() for r in spark.read.parquet(p).select("key").collect())
 
-    ledger.process_new(lg, cs.where("seq <= 8"), "landed_at", sink, lambda d: d, now=0)
+    ends = iter(spark.createDataFrame([(_at(m),) for m in (7, 14, 19)], "t timestamp").select(ledger.micros(F.col("t"))).toPandas().iloc[:, 0].tolist())
+    ledger.process_new(lg, cs.where("seq <= 8"), "landed_at", sink, lambda d: d, now=0, upto=next(ends))
 
     def fails(d):
         raise OSError("disk full")
 
     with pytest.raises(OSError):
-        ledger.process_new(lg, cs.where("seq <= 15"), "landed_at", sink, fails, now=0)
+        ledger.process_new(lg, cs.where("seq <= 15"), "landed_at", sink, fails, now=0, upto=next(ends))
     crashed = lg.lease(60, now=0)  # a worker that takes the item and is never heard of again
     assert crashed is not None
-    assert ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=1) != []
+    assert ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=1, upto=next(ends)) != []
     ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=61)
     assert seen() == sorted(f"k{i}" for i in range(20))
     assert ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, now=62) == []
 
 
+def _seen(lg, spark):
+    return sorted(r[0] for p in lg.outputs() for r in spark.read.parquet(p).select("seq").collect())
+
+
+def test_rows_that_become_visible_later_with_the_newest_time(spark):
+    lg, sink = ledger.WorkLedger(spark, shared_path(spark, "ledger")), shared_path(spark, "out")
+    cs = _changes(spark, ("a", "n", b"1", 1), ("b", "n", b"1", 2), ("c", "n", b"1", 2), ("d", "n", b"1", 3), ("e", "n", b"1", None))
+    ledger.process_new(lg, cs.where("seq <= 2"), "landed_at", sink, lambda d: d)
+    assert _seen(lg, spark) == [1]  # minute 2 isn't over
+    ledger.process_new(lg, cs, "landed_at", sink, lambda d: d)
+    assert _seen(lg, spark) == [1, 2, 3]
+    ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, upto=2**60)
+    assert _seen(lg, spark) == [1, 2, 3, 4]
+
+
+def test_a_change_that_arrives_again_comes_out_once(spark):
+    lg, sink = ledger.WorkLedger(spark, shared_path(spark, "ledger")), shared_path(spark, "out")
+    cs = _changes(spark, ("a", "n", b"1", 1), ("a", "n", b"1", 1), ("b", "n", None, 2), ("a", "n", b"1", 3), ("b", "n", b"", 3), ("b", "n", None, 4), ("c", None, None, 4))
+    for minute in (1, 2, 3, 4):
+        end = spark.createDataFrame([(_at(minute),)], "t timestamp").select(ledger.micros(F.col("t"))).first()[0]
+        ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, upto=end, identity=ID, order="seq")
+    assert _seen(lg, spark) == [1, 3, 5, 7]
+
+
+def test_a_crash_between_writing_and_completing(spark, monkeypatch):
+    lg, sink = ledger.WorkLedger(spark, shared_path(spark, "ledger")), shared_path(spark, "out")
+    cs = _changes(spark, *((f"k{i}", "n", b"1", i) for i in range(9)))
+    whole = ledger.WorkLedger.complete
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ledger.WorkLedger, "complete", dies)
+    with pytest.raises(KeyboardInterrupt):
+        ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, ttl=10, now=0, upto=2**60)
+    monkeypatch.setattr(ledger.WorkLedger, "complete", whole)
+    assert _seen(lg, spark) == [] and ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, ttl=10, now=5, upto=2**60) == []
+    wrote = ledger.process_new(lg, cs, "landed_at", sink, lambda d: d, ttl=10, now=10, upto=2**60)
+    assert [w.rsplit("/", 1)[1] for w in wrote] == ["token=2"] and _seen(lg, spark) == list(range(1, 10))
+
+
+def test_a_writer_whose_lease_ran_out_on_the_way(spark):
+    lg, sink = ledger.WorkLedger(spark, shared_path(spark, "ledger"), compact_every=2), shared_path(spark, "out")
+    cs = _changes(spark, *((f"k{i}", "n", b"1", i) for i in range(9)))
+
+    def slow(d):
+        other = lg.lease(10, now=11)  # the first lease ran out at 10
+        d.where("seq < 5").write.parquet(f"{sink}/other-{other.token}")
+        lg.complete(other, f"{sink}/other-{other.token}", now=12)
+        return d
+
+    with pytest.raises(ledger.StaleToken):
+        ledger.process_new(lg, cs, "landed_at", sink, slow, ttl=10, now=0, upto=2**60)
+    assert _seen(lg, spark) == [1, 2, 3, 4]
+
+    def fails(d):
+        slow(d)
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):  # not hidden by the token that is stale as well
+        ledger.process_new(lg, cs, "landed_at", f"{sink}2", lambda d: fails(d.limit(0)), ttl=10, now=0, upto=2**60 + 1)
+
+
+def test_done_items_are_not_carried_along(spark):
+    lg = ledger.WorkLedger(spark, shared_path(spark, "ledger"), compact_every=2)
+    for i in range(1, 6):
+        lg.add(i)
+        lg.complete(lg.lease(10, now=0), f"out{i}", now=1)
+    assert lg.outputs() == [f"out{i}" for i in range(1, 6)]
+    assert len(lg._state()[1]["done"]) <= 2 and set(lg.states(now=1).values()) == {"done"}
+
+
 def test_locate_with_a_dense_stretch(spark):
     ends = [*range(1000, 1100), 5_000_000]
     w = spark.createDataFrame([(a, b, b) for a, b in zip([None, *ends], ends, strict=False)], "lo long, hi long, run_id long")
