@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.text import slices, visible_words
+from keyfold.session import cut
 
 SPAN = 12
-#: Positions that each mask ignores. The ends always count; each inner position is ignored by at least one mask,
-#: so that twelve words in line are hit even if any one inner word was replaced.
-IGNORED = ((1, 4, 7, 10), (2, 5, 8, 9), (2, 3, 6, 8))
+#: Positions that each mask ignores. The ends always count; any two inner positions are ignored by at least one mask,
+#: so that twelve words in line are hit even if any two inner words were replaced. Fewer than four masks of six can't do that.
+IGNORED = ((1, 3, 5, 6, 8, 10), (1, 2, 4, 7, 9, 10), (2, 3, 4, 7, 8, 9), (2, 4, 5, 6, 7, 9))
 #: Words that may be replaced within SPAN words in line, so that the masks still find every such pair.
-REPLACED = 1
+REPLACED = 2
 #: A substituted word in an overlap must be outweighed by this many equal ones.
 SUBSTITUTION = 4
 #: Characters of test passages that are indexed, broadcast and compared at a time; larger test sets go in blocks. The
@@ -150,13 +151,14 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     ``run`` is the longest run of equal words, ``overlap`` the longest stretch in which equal words outweigh
     substituted ones by SUBSTITUTION to one, with ``substitutions`` of them, and ``replaced`` the fewest words replaced
     within SPAN words in line whose ends are equal, or null; each on the line where it is best. Every pair with SPAN
-    equal words in line is found (``replaced`` 0), and every pair with SPAN words in line of which an inner one was
-    replaced (1). For more of them, not every pair is found.
+    equal words in line is found (``replaced`` 0), and every pair with SPAN words in line of which one or two inner ones were
+    replaced (1, 2). For more of them, not every pair is found.
 
     Words are those of ``visible_words``. Null or short texts and passages have no rows; rows repeated with one id
     count as one document or item; other columns aren't read; empty tables give an empty result. The test set is a
     stated query set: its passages are read in blocks of about ``block_chars`` characters, each broadcast and
-    held against the whole corpus in one pass without a shuffle. Only the pairs found are shuffled.
+    held against the whole corpus in one pass without a shuffle. If there are several blocks the corpus is taken apart into words once, which
+    are kept in the shared folder. Only the pairs found are shuffled.
     """
     spark = corpus.sparkSession
     ids = {"doc": corpus.schema[doc].dataType.simpleString(), "item": items.schema[item].dataType.simpleString()}
@@ -165,14 +167,17 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     chars = items.agg(F.sum(F.length(passage))).first()[0] or 0
     blocks = -(-chars // block_chars)
     found = spark.createDataFrame([], schema)
+    texts = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null")
+    if blocks > 1:
+        texts = cut(texts.mapInArrow(_words_of, texts.schema))
     wanted = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).where("p is not null and i is not null")
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(TestIndex.build([tuple(r) for r in rows]))
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], index=index, words=str.split if blocks > 1 else visible_words) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, 1):
-                got = index.value.compared([visible_words(t) for t in part.column(1).to_pylist()])
+                got = index.value.compared([words(t) for t in part.column(1).to_pylist()])
                 if got:
                     t, i, *rest = zip(*got, strict=True)
                     yield pa.record_batch(
@@ -180,7 +185,7 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
                         names=["doc", "item", "run", "overlap", "substitutions", "replaced"],
                     )
 
-        part = corpus.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("text is not null").mapInArrow(scan, schema)
+        part = texts.mapInArrow(scan, schema)
         found = found.unionByName(part) if b else part
     best = F.max(F.struct("overlap", (-F.col("substitutions")).alias("s"))).alias("b")
     return found.groupBy("doc", "item").agg(F.max("run").alias("run"), best, F.min("replaced").alias("replaced")).select(
@@ -188,6 +193,11 @@ def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str =
     )
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 1):
+        yield pa.record_batch([part.column(0), pa.array([" ".join(visible_words(t)) for t in part.column(1).to_pylist()], pa.string())], names=["doc", "text"])
+
+
 def _arrow(ddl: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
