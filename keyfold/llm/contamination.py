@@ -1,9 +1,9 @@
 """Evaluation passages inside a training corpus, by spaced-seed hashing.
 
 A seed is a fixed mask over SPAN consecutive words that ignores some of them. Every window of every test passage and
-of every corpus text is hashed under every mask; windows with equal hashes are hits. Around a hit both texts are laid
-side by side and compared word by word, so that the result never depends on a hash, and overlaps go on across
-substituted words.
+of every corpus text is hashed under every mask; windows with equal hashes, in which at most REPLACED words differ, are hits.
+Around a hit both texts are laid side by side and compared word by word, so that the result never depends on a hash, and
+overlaps go on across substituted words.
 """
 
 from __future__ import annotations
@@ -60,6 +60,9 @@ class TestIndex:
     items: list = field(default_factory=list)
     passages: list[np.ndarray] = field(default_factory=list)
     tables: list[tuple] = field(default_factory=list)
+    #: The words of all passages in a row, and where each passage begins.
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     __test__ = False
 
@@ -72,6 +75,9 @@ class TestIndex:
             if len(words) >= SPAN:
                 t.items.append(item)
                 t.passages.append(np.array([t.vocabulary.setdefault(w, len(t.vocabulary) + 1) for w in words], np.int64))
+        if t.passages:
+            t.flat = np.concatenate(t.passages)
+            t.offsets = np.cumsum([0, *map(len, t.passages[:-1])])
         for mask in range(len(IGNORED)):
             hs, who, at = [], [], []
             for k, ids in enumerate(t.passages):
@@ -114,6 +120,12 @@ class TestIndex:
             n = count[slot]
             row = np.repeat(first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             pos = np.repeat(pos, n)
+            equal = np.zeros(len(pos), np.int8)
+            begin = self.offsets[who[row]] + at[row]
+            for p in range(SPAN):
+                equal += ids[pos + p] == self.flat[begin + p]
+            close = equal >= SPAN - REPLACED
+            pos, row = pos[close], row[close]
             lines.append(np.stack([owner[pos], who[row], pos - at[row]], 1))
         best: dict[tuple[int, int], list] = {}
         for text, item, shift in np.unique(np.concatenate(lines), axis=0).tolist():
@@ -146,7 +158,7 @@ def _replaced(same: np.ndarray) -> int:
 
 
 def leaks(corpus: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc, item, run, overlap, substitutions, replaced`` for every document that shares a seed with a test passage.
+    """``doc, item, run, overlap, substitutions, replaced`` for every document that has a hit with a test passage.
 
     ``run`` is the longest run of equal words, ``overlap`` the longest stretch in which equal words outweigh
     substituted ones by SUBSTITUTION to one, with ``substitutions`` of them, and ``replaced`` the fewest words replaced

@@ -82,7 +82,7 @@ def test_one_or_two_substituted_words_are_no_escape():
             assert hit[:2] == [0, 0] and replaced == len({a, b})
 
 
-@pytest.mark.parametrize(("every", "recall"), [(4, 0.9), (5, 0.95), (6, 1.0), (8, 1.0)])
+@pytest.mark.parametrize(("every", "recall"), [(4, 0.9), (5, 0.95), (6, 0.98), (8, 0.98)])
 def test_recall_of_passages_with_many_substitutions(every, recall):
     r = random.Random(every)
     found = 0
