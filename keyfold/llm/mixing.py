@@ -14,7 +14,7 @@ from keyfold.llm import tokens
 from keyfold.llm.text import slices
 from keyfold.session import cut
 
-#: Size of a block at most; where the smallest quota would get fewer than MIN_BLOCKS of them, blocks are smaller.
+#: Size of a block at most; where the smallest quota of a mix would get fewer than MIN_BLOCKS of them, the blocks of that mix are smaller.
 BLOCK_TOKENS, MIN_BLOCKS, LEAST_BLOCK = 1024, 1000, 16
 #: Tokens that a shard of a source should hold, and how many shards a source has at most.
 SHARD_TOKENS, MAX_SHARDS = 4_000_000, 4096
@@ -74,28 +74,37 @@ def apportion(seats: int, weights: list[float], caps: list[int]) -> list[int]:
     return got.tolist()
 
 
-def _plan(targets: list[dict], size: dict[str, int], total: int | None) -> tuple[dict, int]:
-    """Blocks of each (mix, source) and their size. ``size``: tokens of each source."""
+def _plan(targets: list[dict], shards: dict[str, list[tuple[int, int]]], total: int | None) -> list[tuple]:
+    """``mix, source, shard, tokens, blocks, rounds, extra``: what each mix takes of each shard. ``shards``: their numbers and tokens.
+
+    Each mix has blocks of its own size, so that it doesn't depend on what other mixes are asked for. The room of a source is that of
+    its shards, in their own whole blocks, so that every block it is given finds a place. By default there are as many blocks as
+    every source can give in proportion."""
     mixes: dict = {}
     for t in targets:
         mixes.setdefault(t["mix_id"], []).append(t)
-    wanted, smallest = {}, BLOCK_TOKENS * MIN_BLOCKS
+    out = []
     for mix, ts in mixes.items():
-        able = [t for t in ts if t["weight"] > 0 and t["max_repeats"] > 0 and size.get(t["source"], 0) > 0]
-        sum_w = sum(t["weight"] for t in able)
+        able = [t for t in ts if t["weight"] > 0 and t["max_repeats"] > 0 and shards.get(t["source"])]
         if not able:
             continue
-        most = min(size[t["source"]] * t["max_repeats"] * sum_w / t["weight"] for t in able)
-        wanted[mix] = (able, most if total is None else total)
-        smallest = min(smallest, wanted[mix][1] * min(t["weight"] for t in able) / sum_w)
-    block = max(LEAST_BLOCK, min(BLOCK_TOKENS, int(smallest // MIN_BLOCKS)))
-    quotas = {}
-    for mix, (able, tokens_) in wanted.items():
-        # One block of room besides the whole ones, as the last block of a source is rounded.
-        caps = [-(-size[t["source"]] // block) * t["max_repeats"] for t in able]
-        for t, q in zip(able, apportion(round(tokens_ / block), [t["weight"] for t in able], caps), strict=True):
-            quotas[mix, t["source"]] = (q, t["max_repeats"])
-    return quotas, block
+        weights = [t["weight"] for t in able]
+        sum_w = sum(weights)
+        size = [sum(n for _, n in shards[t["source"]]) for t in able]
+        most = min(n * t["max_repeats"] * sum_w / t["weight"] for n, t in zip(size, able, strict=True))
+        wanted = most if total is None else total
+        block = max(LEAST_BLOCK, min(BLOCK_TOKENS, int(wanted * min(weights) / sum_w // MIN_BLOCKS)))
+        blocks = [[max(1, round(n / block)) for _, n in shards[t["source"]]] for t in able]
+        caps = [sum(b) * t["max_repeats"] for b, t in zip(blocks, able, strict=True)]
+        seats = round(wanted / block)
+        if total is None:
+            seats = min(seats, *(int(c * sum_w / w) for c, w in zip(caps, weights, strict=True)))
+        for t, b, quota in zip(able, blocks, apportion(seats, weights, caps), strict=True):
+            own = shards[t["source"]]
+            for (shard, n), k, got in zip(own, b, apportion(quota, [n for _, n in own], [k * t["max_repeats"] for k in b]), strict=True):
+                if got:
+                    out.append((mix, t["source"], shard, n, k, got // k, got % k))
+    return out
 
 
 def mix(counted: DataFrame, targets: DataFrame, seed: int = 0, total: int | None = None) -> DataFrame:
@@ -134,21 +143,14 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 0, total: int | None
     known = spark.createDataFrame([(s,) for s in names], "source string")
     docs = cut(counted.where("n > 0").join(F.broadcast(known), "source", "left_semi").select("doc_id", "source", "n"))
     size = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    quotas, block = _plan(targets_, size, total)
-    if not quotas:
+    if not size:
         return spark.createDataFrame([], empty)
-
     counts = spark.createDataFrame([(s, int(max(1, min(MAX_SHARDS, -(-n // SHARD_TOKENS))))) for s, n in size.items()], "source string, shards int")
     sharded = docs.join(F.broadcast(counts), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "doc_id"), F.col("shards")).cast("int")).drop("shards")
     per: dict[str, list] = {}
     for r in sharded.groupBy("source", "shard").agg(F.sum("n").alias("n")).orderBy("source", "shard").collect():
-        per.setdefault(r["source"], []).append((r["shard"], r["n"], max(1, round(r["n"] / block))))
-    use = []
-    for (m, s), (q, repeats) in quotas.items():
-        for (shard, n, blocks), got in zip(per[s], apportion(q, [n for _, n, _ in per[s]], [b * repeats for *_, b in per[s]]), strict=True):
-            if got:
-                use.append((m, s, shard, n, blocks, got // blocks, got % blocks))
-    plan = spark.createDataFrame(use, f"mix_id {id_type}, source string, shard int, total long, blocks int, rounds int, extra int")
+        per.setdefault(r["source"], []).append((r["shard"], r["n"]))
+    plan = spark.createDataFrame(_plan(targets_, per, total), f"mix_id {id_type}, source string, shard int, total long, blocks int, rounds int, extra int")
 
     w = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sharded.withColumn("middle", F.sum("n").over(w) - F.col("n") / 2)
@@ -163,7 +165,10 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 0, total: int | None
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``mix_id, source``, ``target_share`` of all weights of the mix and ``reached_share`` of its tokens, with ``tokens``,
-    ``documents``, ``uses`` and ``most_uses`` of a document; sources that got nothing are listed with 0."""
+    ``documents``, ``uses`` and ``most_uses`` of a document; sources that got nothing are listed with 0.
+
+    ``due_share`` is the share of the weights of the sources that are in the mix, which is what the others are
+    renormalised to; ``deviation`` is how far the reached share is off, as a part of the due one (null where nothing is due)."""
     got = mixed.groupBy("mix_id", "source").agg(
         F.sum(F.col("n") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("uses"), F.max("copies").alias("most_uses")
     )
@@ -172,6 +177,9 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     of_mix = Window.partitionBy("mix_id")  # as many rows as the targets have
     part = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(of_mix).cast("double")), F.lit(0.0))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "uses", "most_uses")]
-    return want.join(got, ["mix_id", "source"], "left").select("mix_id", "source", "w", *zero).select(
-        "mix_id", "source", part("w").alias("target_share"), part("tokens").alias("reached_share"), "tokens", "documents", "uses", "most_uses"
+    there = F.when(F.col("tokens") > 0, F.col("w")).otherwise(F.lit(0.0)).alias("w_there")
+    return (
+        want.join(got, ["mix_id", "source"], "left").select("mix_id", "source", "w", *zero).select("*", there)
+        .select("mix_id", "source", part("w").alias("target_share"), part("tokens").alias("reached_share"), "tokens", "documents", "uses", "most_uses", part("w_there").alias("due_share"))
+        .withColumn("deviation", F.try_divide("reached_share", "due_share") - 1)
     )

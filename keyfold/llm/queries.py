@@ -30,6 +30,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_due(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source has to get of each mix: of all weights, and of those of the sources that are there."""
+    return p7_shares(spark, d).select("mix_id", "source", F.round("target_share", 9).alias("target_share"), F.round("due_share", 9).alias("due_share"))
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source of each mix keeps its repeats, and is off what is due by no more tokens than the mix's largest document has."""
+    m, targets = p7_mix(spark, d), table(spark, d, "mix_targets")
+    most = m.groupBy("mix_id").agg(F.max("n").alias("largest"), F.sum(F.col("n") * F.col("copies")).alias("total"))
+    limit = targets.groupBy("mix_id", "source").agg(F.max("max_repeats").alias("limit"))
+    return mixing.shares(m, targets).join(most, "mix_id").join(limit, ["mix_id", "source"]).select(
+        "mix_id", "source", (F.col("most_uses") <= F.col("limit")).alias("within_repeats"),
+        (F.abs(F.col("tokens") - F.col("due_share") * F.col("total")) <= F.col("largest")).alias("within_a_document"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents")).select("doc_id")
 
@@ -49,7 +65,7 @@ def p8_fertility(spark: SparkSession, d: str) -> DataFrame:
     return repetition.fertility_verdicts(repetition.repetition(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_overlaps, p7_mix, p7_shares, p8_found, p8_share, p8_counts, p8_fertility)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_overlaps, p7_mix, p7_shares, p7_due, p7_limits, p8_found, p8_share, p8_counts, p8_fertility)}
 _P8 = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+'), lambda x: lower(x)) AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
@@ -60,6 +76,12 @@ n AS (SELECT d.doc_id, len(d.w)::INT AS words, coalesce(s.repeated, 0)::INT AS r
   FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (covered) AS repeated FROM c GROUP BY doc_id) s USING (doc_id))
 """
 ORACLE: dict[str, str] = {
+    "p7_due": """
+WITH t AS (SELECT mix_id, source, sum(weight) AS w, max(max_repeats) AS r FROM mix_targets GROUP BY ALL),
+j AS (SELECT t.*, r > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0) AS there FROM t)
+SELECT mix_id, source, round(w / sum(w) OVER (PARTITION BY mix_id), 9) AS target_share,
+  coalesce(round((CASE WHEN there THEN w ELSE 0 END) / sum(CASE WHEN there THEN w ELSE 0 END) OVER (PARTITION BY mix_id), 9), 0) AS due_share FROM j""",
+    "p7_limits": "SELECT DISTINCT mix_id, source, TRUE AS within_repeats, TRUE AS within_a_document FROM mix_targets",
     "p8_counts": _P8 + "SELECT doc_id, words, repeated FROM n",
     "p8_found": _P8 + "SELECT doc_id FROM n WHERE words > 0 AND repeated * 10 >= words * 3",
 }

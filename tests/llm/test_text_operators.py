@@ -173,6 +173,8 @@ def test_shares_and_caps(spark, monkeypatch):
     s = {(x.mix_id, x.source): x for x in mixing.shares(m, t).collect()}
     for k, want in {(1, "big"): 0.6, (1, "mid"): 0.2, (1, "small"): 0.2, (2, "big"): 0.5, (2, "mid"): 0.5}.items():
         assert s[k].reached_share == pytest.approx(want, abs=0.01)
+    assert s[1, "mid"].due_share == pytest.approx(0.2) and s[1, "absent"].due_share == 0 and s[1, "absent"].deviation is None
+    assert all(abs(x.deviation) < 0.05 for x in s.values() if x.deviation is not None)
     assert s[1, "absent"].reached_share == 0 and s[1, "absent"].target_share == pytest.approx(1 / 11) and s[2, "none"].target_share == 0
     # All there is of the source that limits the mix is used.
     assert s[1, "small"].tokens > 0.97 * 4 * sum(n for x, n in data if x == "small")
@@ -180,6 +182,26 @@ def test_shares_and_caps(spark, monkeypatch):
     assert over.most_uses == 1 and over.documents == 300
 
 
+def test_mixes_do_not_depend_on_each_other(spark):
+    r = random.Random(5)
+    c = _counted(spark, [(r.choice(["a", "b", "b", "b"]), r.randint(1, 900)) for _ in range(900)])
+    one = [(1, "a", 1.0, 1, 0), (1, "b", 1.0, 1, 0)]
+    alone = mixing.mix(c, spark.createDataFrame(one, T))
+    beside = mixing.mix(c, spark.createDataFrame([*one, (2, "a", 0.001, 1, 0), (2, "b", 1.0, 3, 0)], T)).where("mix_id = 1")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, beside.collect()))
+
+
+@given(st.lists(st.tuples(st.sampled_from([0.5, 1.0, 3.0]), st.integers(1, 4), st.lists(st.integers(1, 5000), min_size=1, max_size=4)), min_size=1, max_size=4), st.sampled_from([None, 3000, 10**6]))
+def test_every_block_finds_a_place(sources, total):
+    targets = [{"mix_id": 1, "source": str(i), "weight": w, "max_repeats": m} for i, (w, m, _) in enumerate(sources)]
+    plan = mixing._plan(targets, {str(i): list(enumerate(ns)) for i, (*_, ns) in enumerate(sources)}, total)
+    got = {(s, shard): (n, k, rounds * k + extra) for _, s, shard, n, k, rounds, extra in plan}
+    assert all(0 < seats <= k * sources[int(s)][1] and sources[int(s)][2][shard] == n for (s, shard), (n, k, seats) in got.items())
+    if total is None:  # seats as by highest quotients, as no source runs out
+        seats = [sum(x for (s, _), (*_, x) in got.items() if s == str(i)) for i in range(len(sources))]
+        assert seats == _naive(sum(seats), [w for w, *_ in sources], [10**9] * len(sources))
+
+
 def test_nothing_to_mix(spark):
     t, c = spark.createDataFrame([(1, "a", 1.0, 1, 0)], T), _counted(spark, [("a", 5)])
     assert mixing.mix(c.limit(0), t).count() == mixing.mix(c, t.limit(0)).count() == 0
