@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.operators.running import running
+from keyfold.operators.running import bounds_of, running
+from keyfold.session import cut
 
 BITS = 16
 MASK = (1 << BITS) - 1
@@ -48,9 +49,10 @@ def now_sequence(samples: DataFrame) -> DataFrame:
     slice of a node in one task.
     """
     s = samples.where("seq is not null").withColumn("ms", clamp_ms(F.coalesce("ms", F.lit(0).cast("long"))))
-    p = running(s, ["node_id"], "seq", F.col("ms"), "__p", F.max, inclusive=True)
+    b = bounds_of(s, "seq")
+    p = cut(running(s, ["node_id"], "seq", F.col("ms"), "__p", F.max, inclusive=True, bounds=b))  # it is used twice
     # Within a node the greatest reading never falls, so its equal values are one stretch of seq.
-    n = running(p, ["node_id", "__p"], "seq", F.lit(1).cast("long"), "__n", F.sum)
+    n = running(p, ["node_id", "__p"], "seq", F.lit(1).cast("long"), "__n", F.sum, bounds=b)
     stamp = F.when(F.col("__p") >= MAX_MS, F.lit(MAX_TS).cast("long")).otherwise(F.shiftleft("__p", BITS) + F.coalesce("__n", F.lit(0).cast("long")))
     return n.withColumn("ts", stamp).drop("__p", "__n")
 
@@ -89,8 +91,9 @@ def run_clock(events: DataFrame) -> DataFrame:
     step = own | believed(F.col("remote"), wall)
     top = F.greatest(F.shiftleft(wall, BITS), F.when(~own & (F.col("remote") < MAX_TS), F.col("remote") + 1))
     e = events.select("node_id", "seq", step.alias("__step"), top.alias("__c")).where("seq is not null")
-    k = running(e, ["node_id"], "seq", F.col("__step").cast("long"), "__k", F.sum, inclusive=True)
-    m = running(k, ["node_id"], "seq", F.when(F.col("__step"), F.col("__c") - F.col("__k")), "__m", F.max, inclusive=True)
+    b = bounds_of(e, "seq")
+    k = cut(running(e, ["node_id"], "seq", F.col("__step").cast("long"), "__k", F.sum, inclusive=True, bounds=b))  # it is used twice
+    m = running(k, ["node_id"], "seq", F.when(F.col("__step"), F.col("__c") - F.col("__k")), "__m", F.max, inclusive=True, bounds=b)
     best = F.greatest(F.coalesce("__m", F.lit(0).cast("long")), F.lit(0).cast("long"))
     ceiling = F.lit(MAX_TS).cast("long")
     return m.select("node_id", "seq", F.when(best > ceiling - F.col("__k"), ceiling).otherwise(best + F.col("__k")).alias("ts"))

@@ -12,10 +12,9 @@ from keyfold.operators.fold import ENTRY, fold
 from keyfold.operators.ring import Ring
 
 
-
-def _sums(hashed: DataFrame) -> DataFrame:
-    """``shard, sub, x, cnt`` of the buckets that hold items; folded before the shuffle, 8,192 rows at most."""
-    return hashed.groupBy("shard", "sub").agg(F.bit_xor("item_hash").alias("x"), F.count("*").alias("cnt"))
+def sums(hashed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``shard, sub, x, cnt`` of the buckets that hold items, of each group ``by``; folded before the shuffle, 8,192 rows a group at most."""
+    return hashed.groupBy(*by, "shard", "sub").agg(F.bit_xor("item_hash").alias("x"), F.count("*").alias("cnt"))
 
 
 def _digest(x: str = "x", cnt: str = "cnt") -> Column:
@@ -36,12 +35,17 @@ def _by_shard(whole: DataFrame) -> DataFrame:
 
 def sub_digests(hashed: DataFrame) -> DataFrame:
     """``shard, sub, cnt, digest`` of all 8,192 buckets. Tombstones count. An empty bucket has the digest of count 0."""
-    return _whole(_sums(hashed)).select("shard", "sub", "cnt", _digest().alias("digest"))
+    return _whole(sums(hashed)).select("shard", "sub", "cnt", _digest().alias("digest"))
 
 
 def shard_digests(hashed: DataFrame) -> DataFrame:
     """``shard, cnt, digest`` of all 128 shards: of the items of the shard, not of its bucket digests."""
-    return _by_shard(_whole(_sums(hashed))).select("shard", "cnt", _digest().alias("digest"))
+    return _by_shard(_whole(sums(hashed))).select("shard", "cnt", _digest().alias("digest"))
+
+
+def root_of_sums(digests: DataFrame) -> DataFrame:
+    """``cnt, digest`` of the state whose bucket sums (``shard, sub, x, cnt``) these are."""
+    return _by_shard(_whole(digests)).select("cnt", _digest().alias("digest")).agg(F.sum("cnt").alias("cnt"), F.bit_xor("digest").alias("digest"))
 
 
 def root_digest(hashed: DataFrame) -> DataFrame:
@@ -49,23 +53,23 @@ def root_digest(hashed: DataFrame) -> DataFrame:
     return shard_digests(hashed).agg(F.sum("cnt").alias("cnt"), F.bit_xor("digest").alias("digest"))
 
 
-def mismatched(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``shard, sub`` of the buckets whose digests differ, in shards whose digests differ.
+def mismatched(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``shard, sub`` of the buckets whose digests differ, in shards whose digests differ, within each group ``by``, such as a replica.
 
     One aggregation of each state; all the rest has 8,192 rows."""
-    sides = _sums(a).select("*", F.lit("a").alias("side")).unionByName(_sums(b).select("*", F.lit("b").alias("side")))
+    sides = sums(a, by).select("*", F.lit("a").alias("side")).unionByName(sums(b, by).select("*", F.lit("b").alias("side")))
     zero = F.lit(0).cast("long")
     of = lambda c, s: F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), zero).alias(f"{c}{s}")
-    both = sides.groupBy("shard", "sub").agg(*(of(c, s) for c in ("x", "cnt") for s in "ab"))
-    w = Window.partitionBy("shard")  # 64 rows
+    both = sides.groupBy(*by, "shard", "sub").agg(*(of(c, s) for c in ("x", "cnt") for s in "ab"))
+    w = Window.partitionBy(*by, "shard")  # 64 rows
     up = both.select("*", *(F.bit_xor(f"x{s}").over(w).alias(f"shard_x{s}") for s in "ab"), *(F.sum(f"cnt{s}").over(w).alias(f"shard_cnt{s}") for s in "ab"))
     bad_shard = _digest("shard_xa", "shard_cnta") != _digest("shard_xb", "shard_cntb")
-    return up.where(bad_shard & (_digest("xa", "cnta") != _digest("xb", "cntb"))).select("shard", "sub")
+    return up.where(bad_shard & (_digest("xa", "cnta") != _digest("xb", "cntb"))).select(*by, "shard", "sub")
 
 
 def request(hashed: DataFrame) -> DataFrame:
     """What a replica asks with: ``level`` (``root``, ``shard``, ``sub``), ``shard, sub, cnt, digest``; 8,321 rows."""
-    whole = _whole(_sums(hashed))
+    whole = _whole(sums(hashed))
     none = F.lit(None).cast("int")
     sub = whole.select(F.lit("sub").alias("level"), "shard", "sub", "cnt", _digest().alias("digest"))
     shard = _by_shard(whole).select(F.lit("shard").alias("level"), "shard", none.alias("sub"), "cnt", _digest().alias("digest"))
@@ -96,20 +100,22 @@ def answer(asked: DataFrame, peer: DataFrame) -> DataFrame:
 def update_digests(digests: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Sub-bucket XORs and counts after entries changed: ``shard, sub, cnt, x`` with the old items taken out and the new put in."""
     base = digests.select("shard", "sub", "cnt", "x")
-    delta = _sums(old).select("shard", "sub", (-F.col("cnt")).alias("cnt"), "x").unionByName(_sums(new).select("shard", "sub", "cnt", "x"))
+    delta = sums(old).select("shard", "sub", (-F.col("cnt")).alias("cnt"), "x").unionByName(sums(new).select("shard", "sub", "cnt", "x"))
     return base.unionByName(delta).groupBy("shard", "sub").agg(F.sum("cnt").alias("cnt"), F.bit_xor("x").alias("x"))
 
 
-def pull(requester: DataFrame, peer: DataFrame, node: str | None = None, ring: Ring | None = None, rf: int = 3) -> DataFrame:
+def pull(requester: DataFrame, peer: DataFrame, node: str | Column | None = None, ring: Ring | None = None, rf: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """What ``peer`` sends: all its entries in mismatched buckets, tombstones as deletions. Both states are hashed.
 
     With a ring, only entries of which ``node`` is an owner. A peer doesn't know which entries of a bucket differ; the
-    merge drops those that don't. The bucket list has at most 8,192 rows.
+    merge drops those that don't. The bucket list has at most 8,192 rows. With ``by``, such as a replica, many pairs exchange at
+    once: ``requester`` and ``peer`` have those columns, equal for the two of a pair.
     """
-    sent = peer.join(F.broadcast(mismatched(requester, peer)), ["shard", "sub"], "left_semi")
+    bad = mismatched(requester, peer, by)
+    sent = peer.join(bad if by else F.broadcast(bad), [*by, "shard", "sub"], "left_semi")
     if ring is not None and node is not None:
         sent = ring.place(sent, max(rf, 1)).where(F.array_contains("owners", node)).drop("owners")
-    return sent.select(*ENTRY)
+    return sent.select(*by, *ENTRY)
 
 
 def merge(state: DataFrame, *deltas: DataFrame, family: str = "xxh64") -> DataFrame:

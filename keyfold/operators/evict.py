@@ -18,11 +18,14 @@ from keyfold.functions.hashing import key_hash, unsigned_mod
 
 @dataclass(frozen=True)
 class Lru:
-    """Capacity in keys, age in milliseconds (0: none) and shards; there are no more shards than capacity."""
+    """Capacity in keys, age in milliseconds (0: none) and shards; there are no more shards than capacity.
+
+    With a ``jitter_seed`` each access lives up to a tenth of the age longer, by its hash, so that keys seen together don't run out together."""
 
     capacity: int = 10_000
     ttl_ms: int = 24 * 3600 * 1000
     shards: int = 16
+    jitter_seed: int | None = None
 
     def __post_init__(self):
         if self.capacity <= 0:
@@ -67,6 +70,19 @@ def _only_seen(accesses: DataFrame, lru: Lru) -> bool:
     return lru.ttl_ms == 0 and accesses.where("kind = 'delete' and key is not null").isEmpty()
 
 
+def fates(accesses: DataFrame, lru: Lru, family: str = "xxh64", now_ms: int | None = None) -> DataFrame:
+    """``key, at, reason``: what became of every key that was ever cached, once all has left that ran out by ``now_ms`` (null:
+    the time of the last access): ``resident``, ``capacity``, ``ttl`` or ``delete``. ``at`` is when it was seen last."""
+    last = F.max_by(F.struct("at", "reason"), F.coalesce("seq", F.lit((1 << 63) - 1))).alias("w")  # no seq: in the end
+    return _replay(accesses, lru, family, True, now_ms).groupBy("key").agg(last).select("key", "w.at", "w.reason")
+
+
+def published(accesses: DataFrame, fill: float, seed: int = 0) -> DataFrame:
+    """The accesses that are still published when a queue is ``fill`` full: a seeded share of them, all of a delete's."""
+    share = sampled_share(F.lit(float(fill)))
+    return accesses.where((F.col("kind") == "delete") | (F.pmod(F.xxhash64(F.lit(seed), "key", "seq"), F.lit(1 << 20)) < share * (1 << 20)))
+
+
 def resident(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
     """``key, shard, at``: what the cache holds in the end, after what has run out at the time of the last access left.
 
@@ -81,8 +97,7 @@ def evicted(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
     """``key``: pushed out or run out at some time and neither back since nor, once back, deleted."""
     if _only_seen(accesses, lru):
         return not_recent(accesses, lru, family)
-    last = F.max_by("reason", F.coalesce("seq", F.lit((1 << 63) - 1))).alias("reason")  # no seq: in the end
-    return _replay(accesses, lru, family, True).groupBy("key").agg(last).where("reason in ('ttl', 'capacity')").select("key")
+    return fates(accesses, lru, family).where("reason in ('ttl', 'capacity')").select("key")
 
 
 def expired(accesses: DataFrame, now_ms: int, lru: Lru) -> DataFrame:
@@ -108,46 +123,49 @@ def events(accesses: DataFrame, lru: Lru, family: str = "xxh64") -> DataFrame:
     return _replay(accesses, lru, family, False).select("seq", "shard", "key", "reason")
 
 
-def _replay(accesses: DataFrame, lru: Lru, family: str, whole: bool) -> DataFrame:
+def _replay(accesses: DataFrame, lru: Lru, family: str, whole: bool, now_ms: int | None = None) -> DataFrame:
     """``seq, shard, key, at, reason``: the evictions; if ``whole`` also deletes of cached keys (``delete``) and, without a
     ``seq``, what runs out by the time of the last access and what remains (``resident``). ``at`` is when the key was seen last."""
     cap, ttl = lru.per_shard, lru.ttl_ms
-    end = accesses.agg(F.max("at")).first()[0] if whole and ttl else None
+    end = (accesses.agg(F.max("at")).first()[0] if now_ms is None else now_ms) if whole and ttl else None
 
     def close(shard: int | None, cache: OrderedDict) -> list[tuple]:
         out = []
-        while end is not None and cache and next(iter(cache.values())) + ttl <= end:
-            key, at = cache.popitem(last=False)
+        while end is not None and cache and next(iter(cache.values()))[1] <= end:
+            key, (at, _) = cache.popitem(last=False)
             out.append((None, shard, key, at, "ttl"))
-        return out + [(None, shard, key, at, "resident") for key, at in cache.items()]
+        return out + [(None, shard, key, at, "resident") for key, (at, _) in cache.items()]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, cache = None, OrderedDict()
         frame = lambda out: pd.DataFrame(out, columns=["seq", "shard", "key", "at", "reason"]).astype({"seq": "Int64"})
         for f in frames:
             out = []
-            for s, seq, key, at, kind in zip(f["shard"], f["seq"], f["key"], f["at"], f["kind"], strict=True):
+            for s, seq, key, at, kind, late in zip(f["shard"], f["seq"], f["key"], f["at"], f["kind"], f["late"], strict=True):
                 if s != shard:
                     if whole:
                         out += close(shard, cache)
                     shard, cache = s, OrderedDict()
-                while ttl and cache and (old := next(iter(cache.items())))[1] + ttl <= at:
-                    cache.popitem(last=False)
-                    out.append((seq, s, *old, "ttl"))
+                while ttl and cache and next(iter(cache.values()))[1] <= at:
+                    old, (was, _) = cache.popitem(last=False)
+                    out.append((seq, s, old, was, "ttl"))
                 if kind == "delete":
                     was = cache.pop(key, None)
                     if whole and was is not None:
-                        out.append((seq, s, key, was, "delete"))
+                        out.append((seq, s, key, was[0], "delete"))
                     continue
                 if key not in cache and len(cache) >= cap:
-                    out.append((seq, s, *cache.popitem(last=False), "capacity"))
-                cache[key] = at
+                    old, (was, _) = cache.popitem(last=False)
+                    out.append((seq, s, old, was, "capacity"))
+                cache[key] = (at, at + ttl + late)
                 cache.move_to_end(key)
             yield frame(out)
         if whole:
             yield frame(close(shard, cache))
 
-    d = accesses.where("key is not null").select(lru_shard(F.col("key"), lru, family).alias("shard"), "seq", "key", "at", "kind")
+    spread = max(1, ttl // 10)
+    late = F.lit(0) if lru.jitter_seed is None else F.pmod(F.xxhash64(F.lit(lru.jitter_seed), "key", "seq"), F.lit(spread))
+    d = accesses.where("key is not null").select(lru_shard(F.col("key"), lru, family).alias("shard"), "seq", "key", "at", "kind", late.alias("late"))
     return d.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, "seq long, shard int, key string, at long, reason string")
 
 

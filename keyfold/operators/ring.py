@@ -19,6 +19,8 @@ DEFAULT_WEIGHT = 128
 #: Hex digits that make a bucket; 16 ** 3 buckets.
 DIGITS = 3
 MAX_VNODES = 1_000_000
+#: Bytes of owner lists up to which the bucket table is broadcast, a name counting 16 besides its own; beyond it is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def _hash(s: str) -> str:
@@ -90,7 +92,8 @@ class Ring:
             following = own[0] if own else following
         buckets = spark.createDataFrame(table, "__b string, __v array<struct<h: string, o: array<string>>>")
         d = keys.withColumn("__h", hex_hash(key)).withColumn("__b", F.substring("__h", 1, DIGITS))
-        found = d.join(F.broadcast(buckets), "__b", "left")  # 4,096 rows
+        size = sum(16 + len(n) for _, v in table for h, o in v for n in (h, *o))
+        found = d.join(F.broadcast(buckets) if size <= BROADCAST_BYTES else buckets, "__b", "left")
         return found.withColumn("owners", F.filter("__v", lambda v: v["h"] >= F.col("__h"))[0]["o"]).drop("__h", "__b", "__v")
 
     def owner(self, keys: DataFrame, key: Column | str = "key") -> DataFrame:
@@ -123,6 +126,16 @@ def others(nodes: DataFrame, me: str) -> DataFrame:
     return nodes.where(F.col("node_id").isNotNull() & (F.col("node_id") != me))
 
 
+def pairs(names: list[str], seed: int | None = None, step: int = 1) -> list[tuple[str, str]]:
+    """Every node with the peer that it exchanges with: drawn by ``seed``, or the one ``step`` places further. A node that is alone has none."""
+    names = sorted(set(names))
+    if seed is None:
+        ends = [(n, names[(i + step) % len(names)]) for i, n in enumerate(names)]
+    else:
+        ends = [(n, min((o for o in names if o != n), key=lambda o, n=n: _hash(f"{seed}/{n}/{o}"), default=n)) for n in names]
+    return [(n, o) for n, o in ends if n != o]
+
+
 def pick_peer(nodes: DataFrame, me: str, seed: int) -> DataFrame:
     """The member that ``me`` exchanges with in round ``seed``: one row, none where it is alone. The same seed gives the same peer."""
     return others(nodes, me).orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyfold.cluster import Cluster
 from keyfold.functions import clock, resp
 from keyfold.functions.hashing import long_to_hex, unsigned_mod
 from keyfold.functions.hashing import key_hash as hash_of
@@ -17,6 +18,7 @@ from keyfold.operators.ring import Ring, moved, others, reachable
 from keyfold.session import shared_path, table
 from keyfold.sources import segments
 from keyfold.sources.snapshots import StateStore
+from keyfold.store import KVStore
 from keyfold.streaming import merge
 
 FAMILY = "sha64"
@@ -437,6 +439,20 @@ def replica_states(spark, d):
     return fold.fold(writes, FAMILY, by=("replica",))
 
 
+@query(f"""WITH {_M}, {_VN.format(_NODES)}, {_owners('(SELECT DISTINCT key FROM mutations)', 3, 'f')},
+w AS (SELECT f.replica, r.* FROM r JOIN f USING (key) WHERE (seq + substr(f.replica, 6, 2)::INT) % 10 <> 0),
+pr AS (SELECT node_id AS me, coalesce(lead(node_id) OVER (ORDER BY node_id), min(node_id) OVER ()) AS peer FROM nodes),
+sent AS (SELECT pr.me AS replica, w.* EXCLUDE (replica) FROM w JOIN pr ON w.replica = pr.peer JOIN f ON f.key = w.key AND f.replica = pr.me),
+al AS (SELECT * FROM w UNION ALL BY NAME SELECT * FROM sent)
+SELECT replica, {_ENTRY} FROM al QUALIFY row_number() OVER (PARTITION BY replica, key {_BEST}) = 1""")
+def cluster_round(spark, d):
+    """The same through the stores of a cluster, after one round in which each node pulled from the next one by name."""
+    c = Cluster(spark, shared_path(spark, "cluster"), ring_of(spark, d), family=FAMILY)
+    c.write(log_of(spark, d), (F.col("seq") + F.substring("replica", 6, 2).cast("int")) % 10 == 0)
+    c.round()
+    return c.states()
+
+
 @query("SELECT node_id, grpc_port, weight FROM nodes WHERE grpc_port > 0 AND node_id <> 'node-04'")
 def members_besides_self(spark, d):
     return others(reachable(table(spark, d, "nodes")), "node-04").select("node_id", "grpc_port", "weight")
@@ -527,6 +543,19 @@ def lru_lost(spark, d):
     return evict.evicted(accesses_of(spark, d), LRU, FAMILY)
 
 
+@query(f"""WITH {_M}, s AS (SELECT * FROM r WHERE op = 'set'), l AS (SELECT key, max(seq) AS seq, any_value(kh) AS kh FROM s GROUP BY key),
+res AS (SELECT key FROM l QUALIFY row_number() OVER (PARTITION BY kh % {LRU.shards} ORDER BY seq DESC) <= {LRU.per_shard})
+SELECT {_ENTRY} FROM s SEMI JOIN res USING (key) QUALIFY row_number() OVER (PARTITION BY key {_BEST}) = 1""")
+def store_evicts(spark, d):
+    """What a store with room for a few keys holds after all sets of the log: the replayed cache decides, a snapshot drops the rest."""
+    sets = log_of(spark, d).where("op = 'set'")
+    kv = KVStore(spark, shared_path(spark, "small"), family=FAMILY, lru=evict.Lru(LRU.capacity, 0, LRU.shards))
+    kv.store.append(sets)
+    kv.take_accesses(sets.select("seq", "key", F.lit(0).cast("long").alias("at"), F.lit("seen").alias("kind")))
+    kv.evict()
+    return kv.store.state()
+
+
 @query()
 def lru_events(spark, d):
     return evict.events(accesses_of(spark, d), LRU, FAMILY)

@@ -9,6 +9,10 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 
+#: File systems on which a name is given to a file by one caller only.
+ATOMIC = ("file", "hdfs", "viewfs")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -46,10 +50,13 @@ def read_text(spark: SparkSession, path: str) -> str:
 def create_once(spark: SparkSession, path: str, body: str) -> bool:
     """Make the file ``path`` whole, or return False because it exists already; never both for two callers.
 
-    The body goes to a hidden file first. On a local disk a hard link gives it its name, elsewhere a rename that
-    refuses to overwrite, which is atomic on HDFS.
+    The body goes to a hidden file first. On a local disk a hard link gives it its name, on HDFS a rename that refuses to
+    overwrite. Other file systems can't promise that only one of two callers succeeds and are an error: leases, delivery
+    versions and snapshots must lie on one of these two; data may lie elsewhere.
     """
     fs, p = _fs(spark, path)
+    if fs.getScheme() not in ATOMIC:
+        raise ValueError(f"files can't be created by one writer alone on {fs.getScheme()}; use one of {', '.join(ATOMIC)}")
     hidden = f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}"
     part = spark._jvm.org.apache.hadoop.fs.Path(hidden)
     stream = fs.create(part, True)

@@ -114,8 +114,8 @@ def test_digests_follow_the_items(entries):
 
 def test_incremental_digests(entries):
     old, new = entries(("x", b"1", 1, "n", False), ("y", b"2", 1, "n", False)), entries(("x", b"9", 5, "n", False), ("z", b"2", 1, "n", False))
-    whole = lambda e: {(r.shard, r.sub): (r.x, r.cnt) for r in digest._sums(_h(e)).collect()}
-    state = digest._sums(_h(old))
+    whole = lambda e: {(r.shard, r.sub): (r.x, r.cnt) for r in digest.sums(_h(e)).collect()}
+    state = digest.sums(_h(old))
     after = digest.update_digests(state, _h(old.where("key = 'x'")), _h(new))
     want = whole(old.where("key = 'y'").unionByName(new))
     assert {(r.shard, r.sub): (r.x, r.cnt) for r in after.where("cnt > 0").collect()} == want
