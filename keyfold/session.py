@@ -52,9 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.dirname(sc.getCheckpointDir().rstrip("/"))
 
 
+_given: list[str] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/keyfold/{what}-{uuid.uuid4().hex[:12]}"
+    _given.append(f"{shared_dir(spark)}/keyfold/{what}-{uuid.uuid4().hex[:12]}")
+    return _given[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this process has put below the paths that ``shared_path`` gave it, once no result that reads from there is needed."""
+    from keyfold.sources.files import delete
+
+    while _given:
+        delete(spark, _given.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
