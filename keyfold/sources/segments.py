@@ -1,8 +1,8 @@
 """The binary segment log as a data source: ``spark.read.format("keyfold_log")`` and ``df.write.format("keyfold_log")``.
 
 A log is a folder of files ``segment-NNN-TIME-SLICE-*.log``; one file is one partition. Within a segment the names sort in the order of
-arrival: by the time of the append, then by its slices of ``seq``, into which a segment that holds much is cut. Files are read and written through the
-path as the executors see it, so on a cluster the folder is a mounted, shared one.
+arrival: by the time of the append, then by its slices of ``seq``, into which a segment that holds much is cut. A path with a scheme
+(``hdfs://``, ``s3://``...) is opened through Arrow's file systems; one without is a folder that all executors have mounted.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,16 @@ _ENTRY_TYPES = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string())
 _NAME = re.compile(r"segment-(\d+)-.*\.log\Z")
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path there."""
+    if path.startswith("file:"):
+        path = urlparse(path).path
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
 @dataclass
 class Segment(InputPartition):
-    path: str
+    name: str
     number: int
     first: int
 
@@ -50,9 +59,10 @@ class LogReader(DataSourceReader):
         self.skip = {int(s): int(n) for s, n in (x.split(":") for x in options.get("offsets", "").split(",") if x)}
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.path) if _NAME.match(n))
+        fs, root = _place(self.path)
+        names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(root)) if _NAME.match(f.base_name))
         # Room for 2**40 entries a file, so that seq rises within a file and never repeats between files.
-        return [Segment(os.path.join(self.path, n), int(_NAME.match(n)[1]), i << 40) for i, n in enumerate(names)]
+        return [Segment(n, int(_NAME.match(n)[1]), i << 40) for i, n in enumerate(names)]
 
     def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
         first, rows = partition.first, []
@@ -62,7 +72,8 @@ class LogReader(DataSourceReader):
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ENTRY_TYPES, strict=True)]
             return pa.record_batch([seqs, *cols, pa.array([partition.number] * len(rows), pa.int32())], names=_COLUMNS)
 
-        with open(partition.path, "rb") as f:
+        fs, root = _place(self.path)
+        with fs.open_input_file(f"{root}/{partition.name}") as f:
             f.seek(self.skip.get(partition.number, 0))
             try:
                 for body in wire.frames(f):
@@ -100,32 +111,35 @@ class LogWriter(DataSourceArrowWriter):
         self.began = time.time_ns()  # on the driver, once for an append
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        fs, root = _place(self.path)
+        fs.create_dir(root, recursive=True)
         open_: dict[tuple[int, int], tuple] = {}
         try:
             for s, part, *entry in _entries(batches, self.segments):
                 if (s, part) not in open_:
-                    name = os.path.join(self.path, f"segment-{s:03d}-{self.began:020d}-{part:06d}-{uuid.uuid4().hex}.log")
-                    hidden = os.path.join(self.path, f".{os.path.basename(name)}")
-                    open_[s, part] = (open(hidden, "wb"), hidden, name)
+                    name = f"segment-{s:03d}-{self.began:020d}-{part:06d}-{uuid.uuid4().hex}.log"
+                    hidden = f"{root}/.{name}"
+                    open_[s, part] = (fs.open_output_stream(hidden), hidden, f"{root}/{name}")
                 open_[s, part][0].write(wire.frame(wire.encode_entry(*entry)))
         finally:
-            for f, *_ in open_.values():
-                f.flush()
-                os.fsync(f.fileno())
+            for f, hidden, _ in open_.values():
                 f.close()
+                if isinstance(fs, pafs.LocalFileSystem):
+                    with open(hidden, "rb") as there:
+                        os.fsync(there.fileno())
         return Wrote([(h, n) for _, h, n in open_.values()])
 
     def commit(self, messages: list[Wrote | None]) -> None:
         for m in messages:
             for hidden, name in m.files if m else ():
-                os.rename(hidden, name)
+                _place(self.path)[0].move(hidden, name)
 
     def abort(self, messages: list[Wrote | None]) -> None:
         for m in messages:
             for hidden, _ in m.files if m else ():
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+                fs = _place(self.path)[0]
+                if fs.get_file_info(hidden).type == pafs.FileType.File:
+                    fs.delete_file(hidden)
 
 
 class SegmentLog(DataSource):

@@ -285,6 +285,9 @@ def test_log_round_trip_and_damage(spark, log, tmp_path):
     back = segments.read(spark, path)
     assert rows(back.select("op", "key", "ts")) == rows(lg.select("op", "key", "ts"))
     assert back.where("key = 'k1'").orderBy("seq").select("op").collect()[-1].op == "del"
+    assert segments.read(spark, f"file://{path}").count() == lg.count()
+    segments.append(lg, f"file://{path}2", 2)
+    assert rows(segments.read(spark, f"{path}2").select("key", "ts")) == rows(lg.select("key", "ts"))
     victim = sorted((tmp_path / "log").glob("*.log"))[0]
     victim.write_bytes(victim.read_bytes() + b"\0\0\0\x09bad")
     with pytest.raises(Exception, match="ends early"):
